@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
+from .language_id import op3_language_id
+from .packing import op5_packing
 from .quality_rules import op8_quality_rules
+from .url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
+    "op5_packing": op5_packing,
+    "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
