@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, read_table
+from .common import batches_of, fresh, read_table, widened
 
 LONG = 2048
 LEAF = 512
@@ -157,7 +157,7 @@ def _mapped(docs: DataFrame, column: str, path: str | None, made: str, kind: str
     rest = [c for c in docs.columns if c.lower() not in (column.lower(), made.lower())]
     (x,) = fresh(docs.columns + [made], "bpe_input")
     df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias(x))
-    schema = df.drop(x).schema.add(made, kind)
+    schema = widened(df.drop(x).schema, f"{made} {kind}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Word separators of every operator here: space and \t \n \v \f \r (ASCII).
 SPACES = "\\x20\\x09-\\x0D"
@@ -74,3 +75,8 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def widened(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with further fields."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -10,9 +10,11 @@ from .bpe import op7_bpe
 from .language_id import op3_language_id
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
+from .substring_dedup import op1_substring_dedup
 from .url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
     "op7_bpe": op7_bpe,
