@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str, sort_key: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     The lineage ends there, so a lost executor costs a reread, not a recompute,
@@ -47,7 +48,19 @@ def cut(df: DataFrame, name: str, sort_key: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more, and let go of finished shuffles."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    sc._jvm.System.gc()
 
 
 def batches_of(spark: SparkSession, rows: int = 512) -> None:

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
 from .language_id import op3_language_id
+from .ngram_join import op9_ngram_join
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
+from .secret_scan import op4_secret_scan
 from .substring_dedup import op1_substring_dedup
 from .url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 
