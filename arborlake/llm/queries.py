@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7_bpe
+from .exact_topk import OP2_SQL, op2_exact_topk
 from .language_id import op3_language_id
+from .masked_lm import op6_masked_lm
 from .ngram_join import op9_ngram_join
 from .packing import op5_packing
 from .quality_rules import op8_quality_rules
@@ -17,13 +19,15 @@ from .url_filter import op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_exact_topk": op2_exact_topk,
     "op3_language_id": op3_language_id,
     "op4_secret_scan": op4_secret_scan,
     "op5_packing": op5_packing,
+    "op6_masked_lm": op6_masked_lm,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL}

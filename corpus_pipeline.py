@@ -1,25 +1,71 @@
-"""A corpus pipeline of five stages, each an operator of ``arborlake.llm``."""
+"""A corpus pipeline of five stages, each an operator of ``arborlake.llm``.
+
+Every stage takes all that its predecessor kept.  ``run`` writes each stage's
+result to the shared folder and reads it for the next, so a lost executor costs
+a reread.  All but the last stage return the columns of ``documents``, with
+``n_chars`` following the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from arborlake.llm.common import cut, read_table
+from arborlake.llm.ngram_join import link_components
+from arborlake.llm.packing import pack_documents
 from arborlake.llm.quality_rules import judge
+from arborlake.llm.secret_scan import redact, scan
+from arborlake.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _as_documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their whole text."""
-    from pyspark.sql import functions as F
+    """Rejected documents go; the others lose their failing lines."""
+    verdict = judge(docs.select(*COLUMNS)).withColumn("row", F.monotonically_increasing_id())
+    # the row number keeps the filter above the columns it needs, which else were computed twice
+    kept = verdict.where("kept AND row >= 0")
+    return _as_documents(kept.withColumn("text", F.when(F.col("lost_chars") > 0, F.col("clean_text")).otherwise(F.col("text"))))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id: five words, similarity 0.8.
+
+    Documents without an id stay unless a document with an id has the same set.
+    """
+    docs = docs.select(*COLUMNS)
+    found = cut(link_components(docs.select("doc_id", "text"), n=5, percent=80), "groups")
+    first = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if found.where("doc_id IS NULL").isEmpty():
+        return first.select(*COLUMNS)
+    nameless = link_components(docs.withColumn("copy", F.col("text")), n=5, percent=80).where("doc_id IS NULL AND component_id IS NULL")
+    return first.select(*COLUMNS).unionByName(nameless.withColumnRenamed("copy", "text").select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that also start elsewhere go; documents without such words keep their text as it is."""
+    found = remove_repeats(docs.select(*COLUMNS).withColumn("whole", F.col("text")))
+    return _as_documents(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return _as_documents(redact(scan(docs.select(*COLUMNS))))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return pack_documents(docs.select("doc_id", "text")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
-    verdict = judge(docs).withColumn("row", F.monotonically_increasing_id())
-    text = docs.columns
-    return verdict.where("kept AND row >= 0").select(*text)
 
+STAGES = [("quality_rules", quality), ("ngram_join", near_copies), ("substring_dedup", repeated_passages), ("secret_scan", secrets), ("packing", packing)]
 
-STAGES = [("quality_rules", quality)]
+#: Substring windows, components and tokenization have no SQL of reasonable cost; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
