@@ -6,7 +6,7 @@ windows have equal minimisers.  Consecutive windows with the same minimiser
 travel as one packed string of words to the minimiser's bucket, where windows
 are sorted by fingerprint, equal fingerprints are compared word for word, and
 those that occur twice are flagged.  Flagged spans return to their row by its
-key, the hashes of its id and of its text.
+key, its id and 32 bits of its text's hash (for a null id 96 bits of the hash).
 
 A string that one task meets more than once settles there: all its windows are
 repeats, so their spans are known, and the bucket gets the string a single time
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches_of, fresh, read_table, widened
-from .wordarrays import inverse, normalized, powers, sliding_min, window_hashes, word_ends, word_hashes
+from .wordarrays import inverse, mix, normalized, powers, sliding_min, window_hashes, word_ends, word_hashes
 
 #: Bytes of text that are tokenized at once, and bytes of packed strings that are sent at once.
-CHUNK, FLUSH = 1 << 21, 24 << 20
+CHUNK, FLUSH = 1 << 21, 40 << 20
 _P = 0xC2B2AE3D27D4EB4F
 
 
@@ -99,15 +99,17 @@ class Sender:
             if len(at) > 1:
                 known += [(a, b, w, w + n + self.k - 1) for a, b, w, n in at]
         spans = merged(np.array(known, np.int64).reshape(-1, 4))
-        to = spans[:, 0].view(np.uint64) >> np.uint64(64 - self.bits)
+        to = mix(np.ascontiguousarray(spans[:, 0]).view(np.uint64)) >> np.uint64(64 - self.bits)
         order = np.argsort(to, kind="stable")
         cut_at = np.flatnonzero(np.diff(to[order])) + 1
         direct = {int(to[i[0]]): spans[i] for i in np.split(order, cut_at) if len(i)}
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         for b in strings.keys() | direct.keys():
             own = strings.get(b, [])
             at = np.array([(p[0][:3] if len(p := self.places[s]) == 1 else (0, 0, -1)) for s in own], np.int64).reshape(-1, 3)
-            yield b, pack(pickle.dumps((b"\n".join([*own, b""]), at, direct.get(b))))
+            # ids of neighbours lie close together: differences compress
+            places = (np.diff(at[:, 0], prepend=0), at[:, 1].astype(np.uint32), at[:, 2].astype(np.int32) if at[:, 2].max(initial=0) < 1 << 31 else at[:, 2])
+            yield b, pack(pickle.dumps((b"\n".join([*own, b""]), places, direct.get(b))))
         self.clear()
 
 
@@ -135,7 +137,7 @@ def repeats(blobs: list[bytes], k: int) -> np.ndarray:
     for x in blobs:
         text, at, direct = pickle.loads(unpack(x))
         texts.append(text)
-        ats.append(at)
+        ats.append(np.column_stack([np.cumsum(at[0]), at[1].astype(np.int64), at[2].astype(np.int64)]))
         if direct is not None:
             spans.append(direct)
     data, at = b"".join(texts), np.concatenate(ats)
@@ -181,7 +183,7 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
     mega = int(part[:-1]) * {"k": 1 / 1024, "m": 1, "g": 1024}[part[-1]] if part[-1].isalpha() else int(part) / 2**20
     # about 6 times the input is sent; a bucket holds some megabytes, a task some buckets
     guess = 6 * docs.rdd.getNumPartitions() * max(mega, 1)
-    bits = min(24, max(9, int(guess / 6).bit_length()))
+    bits = min(24, max(9, (int(guess / 6) - 1).bit_length()))
     tasks = min(1 << 16, max(24, int(guess / 48)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +231,19 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
     return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key1 long, key2 long, start long, stop long")
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 35, minimiser: int = 10) -> DataFrame:
-    """``docs`` without its text, plus ``kept_text`` (kept words joined by one space), ``n_words, n_removed`` and
-    ``removed`` (word spans, end exclusive); columns of these names are replaced."""
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 35, minimiser: int = 10, keep_text: bool = True) -> DataFrame:
+    """``docs`` plus ``kept_text`` (kept words joined by one space), ``n_words, n_removed`` and ``removed`` (word spans,
+    end exclusive); columns of these names are replaced, and without ``keep_text`` the text itself is left out."""
     made = ["kept_text", "n_words", "n_removed", "removed"]
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]
     t, k1, k2, sp = fresh(docs.columns + made, "dedup_text", "dedup_key1", "dedup_key2", "dedup_spans")
-    src = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(t), F.xxhash64(F.col(f"`{id_column}`"), F.lit(35)).alias(k1), F.xxhash64(F.col(f"`{text}`")).alias(k2))
+    name = F.col(f"`{id_column}`")
+    key = F.coalesce(name.cast("long") if docs.schema[id_column].dataType.typeName() in ("long", "integer", "short", "byte") else F.xxhash64(name), F.xxhash64(F.col(f"`{text}`")))
+    src = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(t), key.alias(k1), F.shiftrightunsigned(F.xxhash64(F.col(f"`{text}`"), F.lit(35)), 32).alias(k2))
     spans = repeated_spans(src, t, k1, k2, window, minimiser)
     spans = spans.groupBy(F.col("key1").alias(k1), F.col("key2").alias(k2)).agg(F.collect_set(F.struct("start", "stop")).alias(sp))
     df = src.join(spans, [k1, k2], "left").select(*[F.col(f"`{c}`") for c in rest], t, sp)
-    schema = widened(df.drop(t, sp).schema, "kept_text string, n_words bigint, n_removed bigint, removed array<struct<start: bigint, stop: bigint>>")
+    schema = widened(df.drop(t, sp).schema, f"`{text}` string, " * keep_text + "kept_text string, n_words bigint, n_removed bigint, removed array<struct<start: bigint, stop: bigint>>")
     pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +262,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                     del words[x:y]
                 kept.append(b" ".join(words).decode())
                 out.append([{"start": x, "stop": y} for x, y in ranges])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pair)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: -1 if keep_text else -2], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pair)], names=schema.names)
 
     return df.mapInArrow(keep, schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
