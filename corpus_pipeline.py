@@ -49,8 +49,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that also start elsewhere go; documents without such words keep their text as it is."""
-    found = remove_repeats(docs.select(*COLUMNS).withColumn("whole", F.col("text")))
-    return _as_documents(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))))
+    found = remove_repeats(docs.select(*COLUMNS))
+    return _as_documents(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
