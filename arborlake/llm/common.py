@@ -63,6 +63,11 @@ def drop(*tables: DataFrame) -> None:
     sc._jvm.System.gc()
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written, narrow table marked for broadcast if it has at most ``rows`` rows, else as it is: joins then shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def batches_of(spark: SparkSession, rows: int = 512) -> None:
     """Bound Arrow batches by rows, so that very long texts stay within a Python worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -16,11 +16,13 @@ partial overlaps are summed per pair, which decides the link.
 
 Links inside a group of near copies are not all visited.  Equal sets are one
 node.  First each node is compared with the first node of the buckets it shares
-most; then buckets that still hold several components are worked off in rounds
-(first member with the rest, the next two with the rest, the next four, ...),
-skipping pairs that are already connected, that differ too much in size, or
-whose parity sketches differ in more bits than linked sets may.  Rounds go on
-until no pair is left, so no link that could join two components is lost.
+most.  Then, in passes, each component picks the closest pairs that may link it
+to another component of a bucket: pairs whose sizes allow a link, and whose
+parity sketches differ in no more bits than linked sets may.  Those not tested
+before are counted, and components merge.  A pass takes 16 times as many pairs
+for each component as the one before, and the passes end when every pair that
+may link two components has been tested, so no link that could join two
+components is lost.
 
 Null or wordless text: an empty set, linked with nothing.  A null id never
 names a component: its row takes the component of equal sets with an id, else
@@ -33,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, drop, read_table, widened
+from .common import batches_of, cut, drop, read_table, small, widened
 from .components import components
 from .wordarrays import mix, normalized, window_hashes, word_ends, word_hashes
 
@@ -196,7 +198,9 @@ def count_links(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
 
     one = sets.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
     two = sets.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
-    wide = pairs.select("a", "b").join(one, "b").join(two, ["a", "fragment"]).select("a", "b", "fragment", "x", "y")
+    # while the pairs are few, only the sets they name are shuffled
+    two = two.join(small(cut(pairs.select("a").distinct(), "leads")), "a", "left_semi")
+    wide = one.join(small(pairs.select("a", "b")), "b").join(two, ["a", "fragment"]).select("a", "b", "fragment", "x", "y")
     partial = wide.mapInArrow(overlap, "a long, b long, fragment int, overlap long")
     total = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     p = cuts.percent
@@ -205,7 +209,7 @@ def count_links(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
 
 def write_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Rows ``node, fragment, part`` for the rows of ``docs`` (``node, text``) named in ``nodes`` (with their ``print1``)."""
-    chosen = docs.join(nodes.select("node", "print1"), "node").select("node", "text", "print1")
+    chosen = docs.join(nodes, "node").select("node", "text", "print1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _by_chunks(batches, 1, n):
@@ -224,44 +228,68 @@ def write_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return cut(chosen.mapInArrow(run, "node long, fragment int, part binary"), "sets")
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
-
-
-def next_pairs(members: DataFrame, cuts: Cuts, first: int, last: int, tasks: int) -> DataFrame:
-    """Pairs of each bucket's members number ``first`` to ``last`` with all later members of other components."""
+def nearest_partners(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: np.ndarray, cuts: Cuts, k: int) -> list[np.ndarray]:
+    """For each component of a bucket but its largest, the k closest pairs that may link it to another one.
+
+    Columns comp, a, b, n1, n2, differ, more (1 where the component has further
+    pairs here).  Closeness is the difference of the parity sketches, which no
+    link exceeds by more than its sets differ.
+    """
+    values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(inverse != counts.argmax())
+    found: list[np.ndarray] = []
+    block = max(1, (1 << 19) // max(1, len(node)))
+    for lo in range(0, len(rows), block):
+        i = rows[lo : lo + block]
+        n1, n2 = size[i][:, None], size[None, :]
+        ok = (comp[i][:, None] != comp[None, :]) & (cuts.percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2))
+        x, y = np.nonzero(ok)
+        differ = np.bitwise_count(sketches[i[x]] ^ sketches[y]).sum(axis=1).astype(np.int64)
+        good = differ <= cuts.most_different(size[i[x]], size[y])
+        x, y, differ = i[x[good]], y[good], differ[good]
+        found.append(np.column_stack([comp[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.where(node[x] < node[y], size[x], size[y]), np.where(node[x] < node[y], size[y], size[x]), differ]))
+    t = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+    t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 5], t[:, 0]))]
+    head = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]])) if len(t) else np.zeros(0, np.int64)
+    each = np.diff(np.append(head, len(t)))
+    place = np.arange(len(t)) - np.repeat(head, each)
+    kept = place < k
+    return [*t[kept].T, np.repeat(each > k, each)[kept].astype(np.int64)]
+
+
+def candidates(members: DataFrame, cuts: Cuts, k: int, tasks: int) -> DataFrame:
+    """Rows ``sig, comp, a, b, n1, n2, differ, more`` of every bucket (``sig, node, comp, size, sketch``)."""
+    names = ["sig", "comp", "a", "b", "n1", "n2", "differ", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rank = None, 0
-        leaders: list[tuple[int, int, int, np.ndarray]] = []
-        for batch in batches:
-            sig, node, comp, size = (batch.column(i).to_numpy() for i in range(4))
-            flat = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]])) if len(sig) else np.zeros(1, np.int64)
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            sig, node, comp, size = (t.column(i).to_numpy() for i in range(4))
+            flat = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+            edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if sig[i] != now:
-                    now, rank, leaders = sig[i], 0, []
-                fresh_from = len(leaders)
-                for x in range(i, j):
-                    if first <= rank + x - i + 1 <= last:
-                        leaders.append((int(node[x]), int(comp[x]), int(size[x]), flat[x]))
-                for k, (v, c, n, sk) in enumerate(leaders):
-                    lo = i if k < fresh_from else i + (first - 1 - rank if rank < first - 1 else 0) + (k - fresh_from) + 1
-                    if lo >= j:
-                        continue
-                    m = size[lo:j]
-                    ok = (comp[lo:j] != c) & (cuts.percent * np.maximum(m, n) <= 100 * np.minimum(m, n))
-                    at = np.flatnonzero(ok) + lo
-                    if len(at):
-                        at = at[_differ(flat[at], sk) <= cuts.most_different(size[at], n)]
-                        for o, value in zip(out, (np.full(len(at), v), node[at], np.full(len(at), n), size[at]), strict=True):
-                            o.append(value)
-                rank += j - i
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in out], names=["a", "b", "n1", "n2"])
-
-    found = members.select("sig", "node", "comp", "size", "sketch").repartition(tasks, "sig").sortWithinPartitions("sig", "node")
-    return found.mapInArrow(run, "a long, b long, n1 long, n2 long").distinct()
+                x = nearest_partners(node[i:j], comp[i:j], size[i:j], flat[i:j], cuts, k)
+                for o, v in zip(out, [np.full(len(x[0]), sig[i]), *x], strict=True):
+                    o.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=names)
+
+        for b in batches:
+            if not len(b):
+                continue
+            # all buckets that have ended are done together; the last may go on in the next batch
+            last = b.column(0)[len(b) - 1]
+            start = int(np.searchsorted(b.column(0).to_numpy(), last.as_py()))
+            if start or held and held[-1].column(0)[0] != last:
+                yield done(pa.Table.from_batches([*held, b.slice(0, start)]))
+                held = []
+            held.append(b.slice(start))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    dealt = members.select("sig", "node", "comp", "size", "sketch").repartition(tasks, "sig").sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -276,17 +304,18 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     described = cut(describe(src, "text", n, percent), "described")
     prints = ["size", "print1", "print2"]
-    classes = cut(described.where("size > 0").groupBy(*prints).agg(F.min("node").alias("node")), "classes")
-    nodes = classes.where("node IS NOT NULL")
-    # of each class, the row with its smallest id
-    chosen = described.select("node", *prints, "signatures").join(nodes, ["node", *prints], "left_semi")
+    classes = cut(described.where("size > 0").groupBy(*prints).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    # of each class, the row with its smallest id: classes of one row need no lookup
+    shared = small(cut(classes.where("copies > 1").select(*prints, F.col("node").alias("first")), "shared"))
+    named = described.where("node IS NOT NULL AND size > 0")
+    only = named.join(shared, prints, "left").where("first IS NULL OR first = node")
+    chosen = only.select("node", "signatures")
     buckets = cut(shared_buckets(chosen.select(F.explode("signatures").alias("sig"), "node"), tasks), "buckets")
-    about = described.select("node", *prints, "sketch").join(nodes, ["node", *prints], "left_semi")
-    about = cut(about.join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
+    about = cut(only.select("node", *prints, "sketch").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
     slim = cut(described.select(*own, "node", *prints), "slim")
     drop(described)
 
-    sets = write_sets(src.select("node", "text"), about, n)
+    sets = write_sets(src.select("node", "text"), small(about.select("node", "print1")), n)
     sizes = about.select("node", "size", "sketch")
     # first, each node with the lead of the buckets that it shares most
     best = buckets.where("lead < node").groupBy("node", "lead").count().groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
@@ -295,22 +324,30 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     links = cut(count_links(pairs, sets, cuts), "links")
     found = components(links)
 
-    first, last, left = 1, 1, buckets
+    tested, left, k = pairs.select("a", "b"), buckets, 1
     while True:
         members = left.select("sig", "node").join(found.select("node", F.col("component").alias("comp")), "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        unsettled = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y AND n > {first}").select("sig")
-        members = cut(members.join(unsettled, "sig", "left_semi").join(sizes, "node").select("sig", "node", "comp", "size", "sketch"), "members")
-        drop(left)
-        left = members
-        if members.isEmpty():
-            break
-        pairs = cut(next_pairs(members, cuts, first, last, tasks), "pairs")
-        if not pairs.isEmpty():
+        unsettled = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+        members = members.join(unsettled, "sig", "left_semi").join(sizes, "node")
+        near = cut(candidates(members, cuts, k, tasks), "near")
+        order = Window.partitionBy("comp").orderBy("differ", "a", "b")
+        picks = near.select("comp", "a", "b", "n1", "n2", "differ").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        pairs = cut(picks.select("a", "b", "n1", "n2").distinct().join(small(tested), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            # what was cut off by k may be new, all else is tested
+            if near.where("more = 1").isEmpty() and near.select("comp", "a", "b").distinct().groupBy("comp").count().where(F.col("count") > k).isEmpty():
+                break
+        else:
+            tested = cut(tested.unionByName(pairs.select("a", "b")), "tested")
             more = cut(count_links(pairs, sets, cuts), "links")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = components(links)
-        first, last = last + 1, 2 * last + 1
+        # a bucket without a pair that may link never gets one
+        still = cut(left.join(near.select("sig").distinct(), "sig", "left_semi"), "buckets")
+        drop(left)
+        left, k = still, 16 * k
+    drop(left)
     drop(sets)
 
     named = classes.join(found, "node", "left").select(F.col("size").alias("s0"), F.col("print1").alias("p1"), F.col("print2").alias("p2"), F.coalesce("component", "node").alias("c0"))
@@ -322,3 +359,21 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return link_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM d
+), g AS (
+  SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 185 * count(*) >= 85 * (x.n + y.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.grams
+"""

@@ -131,3 +131,39 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
+
+
+_MARKS = "|<>»›•·"
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{SPACES}]+') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), p AS (
+  SELECT rn, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT rn, win FROM p GROUP BY rn, win HAVING count(*) > 1
+), covered AS (
+  SELECT rn, count(*) AS n FROM (SELECT DISTINCT rn, unnest(range(i, i + 3)) AS j FROM p SEMI JOIN twice USING (rn, win)) GROUP BY rn
+), l AS (
+  SELECT rn, line, regexp_matches(line, '[^{SPACES}]') AS full_line, lower(line) AS low,
+    regexp_matches(line, '[.!?:;,…。！？)\]"''”’»][{SPACES}]*$') AS ends
+  FROM (SELECT rn, unnest(lines) AS line FROM d)
+), judged AS (
+  SELECT *, full_line AND (
+    (NOT ends AND (NOT regexp_matches(line, '(?:[^{SPACES}]+[{SPACES}]+){{3}}[^{SPACES}]') OR regexp_matches(line, '[{_MARKS}]')))
+    OR regexp_matches(line, '[{_MARKS}][^{_MARKS}]*[{_MARKS}]')
+    OR length(regexp_replace(line, '[^#*$%&|<>!?{{}}\[\]\\^~=_@]+', '', 'g')) > 0.1 * length(line)
+    OR regexp_matches(line, '(?:[!?]{{2}}[!?]*[^!?]*){{3}}')
+    OR {" OR ".join(f"contains(low, '{x}')" for x in BOILERPLATE)}
+  ) AS failed FROM l
+), ls AS (
+  SELECT rn, count(*) FILTER (full_line) - count(DISTINCT line) FILTER (full_line) AS n_dup_lines,
+    CAST(coalesce(sum(length(regexp_replace(line, '[{SPACES}]+', '', 'g'))) FILTER (failed), 0) AS BIGINT) AS lost_chars FROM judged GROUP BY rn
+), f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols, ls.n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, ls.lost_chars
+  FROM d JOIN ls USING (rn) LEFT JOIN covered USING (rn)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+)
+SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM b
+"""

@@ -270,3 +270,21 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), p AS (
+  SELECT rn, i, array_to_string(words[i + 1:i + 35], ' ') AS win FROM (SELECT rn, words, unnest(range(0, len(words) - 34)) AS i FROM d)
+), gone AS (
+  SELECT DISTINCT rn, unnest(range(i, i + 35)) AS j FROM p WHERE win IN (SELECT win FROM p GROUP BY win HAVING count(*) > 1)
+), w AS (
+  SELECT rn, unnest(range(0, len(words))) AS j, unnest(words) AS word FROM d
+), kept AS (
+  SELECT w.rn, count(gone.j) AS n_removed, string_agg(w.word, ' ' ORDER BY w.j) FILTER (gone.j IS NULL) AS text
+  FROM w LEFT JOIN gone USING (rn, j) GROUP BY w.rn
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(kept.n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rn)
+"""
