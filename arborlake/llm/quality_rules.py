@@ -58,7 +58,7 @@ def line_verdict(line: Column, low: Column, rules: QualityRules) -> Column:
     """True where a line stays (``low``: the line in lower case).  Blank lines stay: they hold nothing to lose."""
     marks = "|<>»›•·"
     ends = line.rlike(r"[.!?:;,…。！？)\]\"'”’»][\x20\x09-\x0D]*$")
-    short = ~line.rlike(r"(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){3}[^\x20\x09-\x0D]")
+    short = ~line.rlike(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){3}[^\x20\x09-\x0D]")
     navigation = (~ends & (short | line.rlike(f"[{marks}]"))) | line.rlike(f"[{marks}][^{marks}]*+[{marks}]")
     odd = F.length(F.regexp_replace(line, r"[^#*$%&|<>!?{}\[\]\\^~=_@]++", ""))
     punctuation = (odd > rules.line_max_odd_share * F.length(line)) | line.rlike(f"(?:[!?]{{2}}[!?]*+[^!?]*+){{{rules.line_max_repeated_marks + 1}}}")
@@ -79,7 +79,8 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     keep = [F.col(f"`{c}`") for c in own]
     t, w, z, h, dup, s, eq, at, ln, low, good = fresh(own + out, *"q_text q_words q_zip q_hash q_dup q_sorted q_eq q_at q_lines q_low q_good".split())
     c = F.col
-    nothing = lambda x: F.slice(x, 1, 0)
+    # always true, but not deterministic to the optimizer: filters stay above the columns, which else were computed for each of their uses
+    true = F.monotonically_increasing_id() >= 0
     df = docs.select(*keep, F.coalesce(c(f"`{text}`").cast("string"), F.lit("")).alias(t))
     df = df.select(*keep, t, F.filter(F.split(c(t), f"[{SPACES}]+", -1), lambda x: x != "").alias(w), F.split(c(t), "\n", -1).alias(ln), F.split(F.lower(t), "\n", -1).alias(low))
     n = F.size(w)
@@ -116,12 +117,12 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     df = df.withColumn(at, hit)
     df = df.select(
         *keep, "n_words", "n_dup_lines", "word_chars", "n_symbols", "clean_text",
-        F.size(F.array_distinct(F.flatten(F.array(c(at), F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2))))).cast("long").alias("n_repeat_words"),
+        F.when(true, F.size(F.array_distinct(F.flatten(F.array(c(at), F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2)))))).cast("long").alias("n_repeat_words"),
     )
     failed = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.max_repeat_percent * c("n_words"))
     df = df.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "clean_text",
-        (c("word_chars") - F.length(F.regexp_replace("clean_text", f"[{SPACES}]+", ""))).cast("long").alias("lost_chars"),
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (true & failed).alias("base_failed"), "clean_text",
+        F.when(true, c("word_chars") - F.length(F.regexp_replace("clean_text", f"[{SPACES}]+", ""))).cast("long").alias("lost_chars"),
     )
     return df.withColumn("kept", ~c("base_failed") & (c("lost_chars") <= rules.max_lost * c("word_chars")))
 
