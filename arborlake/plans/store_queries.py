@@ -131,8 +131,9 @@ def gc_copy_set(s, d):
 
 @query(f"{_SCORE} SELECT CAST(sum(live_bytes) AS BIGINT) AS live_bytes, CAST(sum(dead_bytes) AS BIGINT) AS dead_bytes, count(*) AS n_segments, (SELECT count(*) FROM live) AS n_marked FROM score")
 def gc_totals(s, d):
-    marked = R.live_keys(s, d).agg(F.count(F.lit(1)).alias("n_marked"))
-    return _scores(s, d).agg(F.sum("live_bytes").alias("live_bytes"), F.sum("dead_bytes").alias("dead_bytes"), F.count(F.lit(1)).alias("n_segments")).crossJoin(marked)  # one row each
+    scores = _scores(s, d).select("live_bytes", "dead_bytes", F.lit(1).alias("n_segments"), F.lit(0).alias("n_marked"))
+    marked = R.live_keys(s, d).select(F.lit(0).alias("live_bytes"), F.lit(0).alias("dead_bytes"), F.lit(0).alias("n_segments"), F.lit(1).alias("n_marked"))
+    return scores.unionByName(marked).agg(*[F.sum(c).cast("long").alias(c) for c in ("live_bytes", "dead_bytes", "n_segments", "n_marked")])
 
 
 @query(f"WITH {R.DOCS} SELECT key FROM docs WHERE lang IN ('en', 'de') UNION SELECT key FROM docs WHERE doc_id % 10 = 3")
@@ -145,9 +146,10 @@ def gc_cycle_stats(s, d):
     r, live = R.records(s, d), R.live_keys(s, d)
     scores = store.liveness(r, live)
     chosen = store.victims(scores, 0.3)
-    copied = store.copy_set(r, chosen, live).agg(F.count(F.lit(1)).alias("copied_records"), F.coalesce(F.sum(store.record_size(F.col("slen"))), F.lit(0)).alias("copied_bytes"))
-    gone = chosen.agg(F.count(F.lit(1)).alias("reaped"), F.sum(F.col("live_bytes") + F.col("dead_bytes")).alias("gone"))
-    out = scores.agg(F.count(F.lit(1)).alias("scored")).crossJoin(gone).crossJoin(copied)  # one row each
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    row = lambda df, **x: df.select(*[x.get(c, zero).alias(c) for c in ("scored", "reaped", "copied_records", "copied_bytes", "gone")])
+    parts = row(scores, scored=one).unionByName(row(chosen, reaped=one, gone=F.col("live_bytes") + F.col("dead_bytes"))).unionByName(row(store.copy_set(r, chosen, live), copied_records=one, copied_bytes=store.record_size(F.col("slen"))))
+    out = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
     return out.select("scored", "reaped", "copied_records", "copied_bytes", (F.col("gone") - F.col("copied_bytes")).alias("freed_bytes"))
 
 
