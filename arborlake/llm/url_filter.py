@@ -6,8 +6,8 @@ statistics (smoothed share of blocked URLs by last host label, second-level
 domain and file extension) are counted over all labelled rows into a fixed
 number of hashed buckets, so what is broadcast has a fixed size.
 
-The trees are fitted on at most ``max_train_rows`` labelled rows, those with the
-smallest row hashes.  Null URLs, or URLs without ``://``, have an empty host and
+The trees are fitted on at most ``max_train_rows`` different labelled URLs, those
+with the smallest hashes.  Null URLs, or URLs without ``://``, have an empty host and
 path and are judged by the same features.  If no URL is labelled, or all labels
 agree, the trees return that share (nothing labelled: allow).
 """
@@ -166,16 +166,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url:
         i, k = np.nonzero(seen.sum(axis=2))
         yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "k": k.astype(np.int32), "no": seen[i, k, 0], "yes": seen[i, k, 1]})
 
-    rates = np.full((3, SUFFIX_BUCKETS), 0.5)
+    rates, n_labelled = np.full((3, SUFFIX_BUCKETS), 0.5), 0
     for r in labelled.select("host", "path", "y").mapInArrow(suffixes, "i int, k int, no long, yes long").groupBy("i", "k").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).collect():  # at most 3 x 1024 rows
         rates[r["i"], r["k"]] = (r["yes"] + 5) / (r["yes"] + r["no"] + 10)
+        n_labelled += (r["yes"] + r["no"]) * (r["i"] == 0)
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([features(*x, rates) for x in rows], pa.list_(pa.float64())), b.column(3), b.column(4)], names=["x", "y", "at"])
 
-    train = labelled.withColumn("at", F.xxhash64("u", F.lit(29))).mapInArrow(to_features, "x array<double>, y int, at long").orderBy("at", "x").limit(max_train_rows).collect()
+    # twice the share needed is taken by hash, each URL once, so that tasks send few rows
+    share = min(1.0, 2 * max_train_rows / max(1, n_labelled))
+    placed = labelled.withColumn("at", F.pmod(F.xxhash64("u", F.lit(29)), F.lit(1 << 40))).where(F.col("at") < int(share * (1 << 40))).dropDuplicates(["u", "y"])
+    train = placed.mapInArrow(to_features, "x array<double>, y int, at long").orderBy("at", "x").limit(max_train_rows).collect()
     model = BoostedTrees().fit(np.array([r["x"] for r in train], np.float64), np.array([r["y"] for r in train], np.float64)) if train else BoostedTrees(base=-5.0)
     shared = spark.sparkContext.broadcast((model, rates))
     schema = df.drop(u).schema.add("block_score", "double")
