@@ -131,21 +131,23 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots:
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     parts: list[DataFrame] = []
-    for r in rows.groupBy("n").agg(F.max(norm).alias("top")).orderBy("n").collect():  # one row for each length of vector
+    for r in rows.groupBy("n").agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("count")).orderBy("n").collect():  # one row for each length of vector
         own = rows.where(F.col("n") == r["n"])
-        parts += _search(own, r["n"], r["top"], k, pivots, sample_rows, block)
+        parts += _search(own, r["n"], r["top"], r["count"], k, pivots, sample_rows, block)
     out = spark.createDataFrame([], schema)
     for p in parts:
         out = out.unionByName(p)
     return out
 
 
-def _search(rows: DataFrame, width: int, top: float, k: int, pivots: int, sample_rows: int, block: int) -> list[DataFrame]:
+def _search(rows: DataFrame, width: int, top: float, count: int, k: int, pivots: int, sample_rows: int, block: int) -> list[DataFrame]:
     spark = rows.sparkSession
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample_rows).collect()
+    # the share is taken by hash before the order, so that tasks send few rows
+    place, share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)), min(1.0, 4 * sample_rows / count)
+    sample = rows.where(place < int(share * (1 << 40))).orderBy(place, "id", "v").limit(sample_rows).collect()
     s_ids = np.array([r["id"] for r in sample], np.int64)
     s = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), width)
-    chosen = choose_pivots(s, top, pivots)
+    chosen = choose_pivots(s, top, pivots) if len(sample) else Pivots(np.zeros((0, width)), top)
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
