@@ -22,10 +22,13 @@ def closure(roots: DataFrame, edges: DataFrame, labels: tuple[str, ...] = (), ex
     ``node``) are descended from; the others are reached all the same.
     """
     on = [*labels, "node"]
+    # every round joins them: computed once
+    edges = written(edges.select("parent", "child"), "edges")
+    expand = None if expand is None else written(expand.select("node"), "expand")
     frontier = written(roots.select(*on).distinct(), "frontier")
     seen = [frontier]
     for _ in range(max_rounds):
-        source = frontier if expand is None else frontier.join(expand.select("node"), "node", "left_semi")
+        source = frontier if expand is None else frontier.join(expand, "node", "left_semi")
         step = source.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(*labels, F.col("child").alias("node")).distinct()
         frontier = written(step.join(reduce(DataFrame.unionByName, seen), on, "left_anti"), "frontier")
         if frontier.isEmpty():
