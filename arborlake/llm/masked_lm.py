@@ -7,8 +7,8 @@ two steps, a class and then a word within the class, so that the cost does not
 grow with the vocabulary.
 
 The vocabulary is counted over all documents: the most frequent words have ids
-of their own, the rest share hashed ids.  Training takes a fixed share of the
-documents, so it grows with the input: every shard of them trains a copy of the
+of their own, the rest share hashed ids.  Training takes every document once, a
+hash of the text gives the round: every shard of a round trains a copy of the
 network with plain numpy, the copies' weights are averaged chunk by chunk in two
 levels, and the average starts the next round.  What reaches the driver is one
 network of fixed size.
@@ -212,8 +212,8 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
     return np.array([r["h"] for r in top], np.int64).view(np.uint64)
 
 
-def fit(docs: DataFrame, text: str = "text", shape: Shape = Shape(), share: float = 0.125, rounds: int = 2, rate: float = 0.1, chunk: int = 16384) -> tuple[Vocabulary, np.ndarray]:
-    """Vocabulary and averaged weights, from ``share`` of the documents of any corpus size."""
+def fit(docs: DataFrame, text: str = "text", shape: Shape = Shape(), share: float = 1.0, rounds: int = 2, rate: float = 0.1, chunk: int = 16384) -> tuple[Vocabulary, np.ndarray]:
+    """Vocabulary and averaged weights, from all documents unless ``share`` is below 1."""
     spark = docs.sparkSession
     batches_of(spark)
     texts = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))

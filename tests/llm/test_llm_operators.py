@@ -300,6 +300,12 @@ def test_masked_lm(spark):
     assert masked_lm.score(empty(spark), *masked_lm.fit(empty(spark))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one text in many copies", "another text of five words"])
+def test_masked_lm_trains_on_every_document(spark, text):
+    _, flat = masked_lm.fit(spark.createDataFrame([(text,)] * 20, "text string"))
+    assert not np.array_equal(flat, masked_lm.Shape().start())
+
+
 def test_context_stays_in_the_text():
     near = masked_lm.contexts(np.array([1, 2, 3, 4, 5]), np.array([3, 0, 2]), 99)
     assert near.tolist() == [[99, 99, 2, 3], [99, 1, 3, 99], [1, 2, 99, 99], [99, 99, 5, 99], [99, 4, 99, 99]]
