@@ -72,6 +72,23 @@ def prolly_index(s, d):
     return levels.where("level <= 1").select("directory", "level", "node", "sep_name", "n_children")
 
 
+_ITEMS = "STRUCT(name VARCHAR, digest VARCHAR)[]"
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES}, walk AS (
+  SELECT directory, 0 AS level, list({{'name': name, 'digest': digest}} ORDER BY name)::{_ITEMS} AS todo, []::{_ITEMS} AS run, []::{_ITEMS} AS done, 0 AS made, NULL::VARCHAR AS node, NULL::VARCHAR AS sep_name, 0::BIGINT AS n_children FROM entries GROUP BY directory
+  UNION ALL
+  SELECT directory, CASE WHEN ends THEN level + 1 ELSE level END, CASE WHEN NOT ends THEN rest WHEN len(nodes) > 1 THEN nodes ELSE []::{_ITEMS} END, CASE WHEN closes THEN []::{_ITEMS} ELSE r END,
+    CASE WHEN ends THEN []::{_ITEMS} ELSE nodes END, level, CASE WHEN closes AND NOT moved THEN digest END, x.name, len(r)::BIGINT
+  FROM (SELECT *, CASE WHEN closes THEN list_append(done, {{'name': x.name, 'digest': digest}}) ELSE done END AS nodes
+    FROM (SELECT *, CASE WHEN moved THEN x.digest ELSE sha256(array_to_string(list_transform(r, lambda y: y.digest), '')) END AS digest
+      FROM (SELECT *, len(r) = 1 AND level > 0 AS moved, len(rest) = 0 AS ends, len(rest) = 0 OR len(r) >= {MOST} OR (len(r) >= {LEAST} AND ('0x' || substr(x.digest, 1, 2))::INT % {1 << BITS} = 0) AS closes
+        FROM (SELECT directory, level, done, todo[1] AS x, todo[2:] AS rest, list_append(run, todo[1]) AS r FROM walk WHERE len(todo) > 0))))
+) SELECT directory, made AS level, node, sep_name, n_children FROM walk WHERE node IS NOT NULL""")
+def prolly_tree(s, d):
+    return tree.directory_levels(_entries(s, d), BITS).select("directory", "level", "node", "sep_name", "n_children")
+
+
 @query(f"{_LEVEL0} SELECT directory, sep_name FROM leaf")
 def sep_names(s, d):
     levels = tree.directory_levels(_entries(s, d), BITS)

@@ -37,6 +37,12 @@ def test_query(spark, duck, name):
     assert got or name in ("has_outside",)
 
 
+def test_every_level(spark):
+    rows = catalogue.QUERIES["prolly_tree"](spark, SF).collect()
+    top = {d: max(r.level for r in rows if r.directory == d) for d in {r.directory for r in rows}}
+    assert max(top.values()) > 1 and all(sum(r.level == n for r in rows if r.directory == d) == 1 for d, n in top.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
