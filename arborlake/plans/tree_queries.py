@@ -227,3 +227,8 @@ def missing_frontier(s, d):
 def why_alive(s, d):
     wanted = R.documents(s, d).where("doc_id % 20 = 3").select(F.concat(F.lit("f|"), "h").alias("node")).distinct()
     return graph.why(wanted, R.edges(s, d), R.refs(s, d))
+
+
+@query(f"WITH RECURSIVE {R.GRAPH}, wanted AS (SELECT DISTINCT 'f|' || h AS node FROM docs), up AS (SELECT node AS wanted, node FROM wanted UNION SELECT up.wanted, e.parent FROM up JOIN edges e ON e.child = up.node) SELECT up.wanted, refs.name FROM up JOIN refs USING (node)")
+def why_every_file(s, d):
+    return graph.why(R.documents(s, d).select(F.concat(F.lit("f|"), "h").alias("node")).distinct(), R.edges(s, d), R.refs(s, d))

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from arborlake.plans import catalogue
+from arborlake.plans import relations as R
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,6 +44,11 @@ def test_every_level(spark):
     assert max(top.values()) > 1 and all(sum(r.level == n for r in rows if r.directory == d) == 1 for d, n in top.items())
 
 
+def test_every_file(spark):
+    files = {r.h for r in R.documents(spark, SF).select("h").distinct().collect()}
+    assert {r.wanted for r in catalogue.QUERIES["why_every_file"](spark, SF).collect()} == {f"f|{h}" for h in files}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
