@@ -104,6 +104,15 @@ def lookup_entry(s, d):
     return tree.lookup(probes, leaves, _entries(s, d))
 
 
+@query(f"""{_LEVEL0}, probe AS (SELECT DISTINCT source AS directory, lpad(CAST(doc_id + 7 AS VARCHAR), 12, '0') AS name FROM documents)
+SELECT p.directory, p.name, (SELECT min(sep_name) FROM leaf l WHERE l.directory = p.directory AND l.sep_name >= p.name) AS sep_name,
+  EXISTS (SELECT 1 FROM entries e WHERE e.directory = p.directory AND e.name = p.name) AS found FROM probe p""")
+def lookup_every_entry(s, d):
+    probes = table(s, d, "documents").select(F.col("source").alias("directory"), F.lpad((F.col("doc_id") + 7).cast("string"), 12, "0").alias("name"))
+    leaves = tree.directory_levels(_entries(s, d), BITS).where("level = 0")
+    return tree.lookup(probes, leaves, _entries(s, d))
+
+
 _FS = f"""{R.DOCS}, fs AS (
   SELECT '' AS parent, source AS name, '/' || source AS child FROM docs
   UNION SELECT '/' || source, lang, '/' || source || '/' || lang FROM docs

@@ -49,6 +49,12 @@ def test_every_file(spark):
     assert {r.wanted for r in catalogue.QUERIES["why_every_file"](spark, SF).collect()} == {f"f|{h}" for h in files}
 
 
+def test_every_probe(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id").distinct().collect()
+    got = {(r.directory, int(r.name)) for r in catalogue.QUERIES["lookup_every_entry"](spark, SF).collect()}
+    assert got == {(r.source, r.doc_id + 7) for r in docs}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
