@@ -6,9 +6,11 @@ buckets.  Counts are taken on the executors and only their fixed-size sums reach
 the driver; the log-probability matrix (buckets x languages, at most 64 MB) is
 broadcast, and each text is scored by summing the matrix rows of its n-grams.
 
-The model is fitted on a bounded sample of labelled rows (``max_train_docs``,
-chosen by a hash of the row, so that the same rows are taken however the table
-is split); prediction covers every row and every whole text.
+The model is fitted on a bounded sample of labelled rows (``max_train_docs``):
+of each language the same number of different texts, or all if it has fewer,
+chosen by a hash of the text, so that the same ones are taken however the table
+is split.  Priors are counted over all labelled rows, and a language without a
+letter in its texts is left out.  Prediction covers every row and every whole text.
 
 Null text, or text without a letter: language ``und`` with score 0.  If nothing
 can be learned (no labelled row), every text gets ``und``.
@@ -23,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, fresh, read_table
@@ -102,41 +104,52 @@ class LanguageModel:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_docs: int = 20_000, bits: int = 16, max_languages: int = 1024, smoothing: float = 0.1) -> LanguageModel:
     """Learn from the rows of ``docs`` whose language isn't null.
 
-    At most ``max_train_docs`` rows are expected in the sample; ``max_languages``
-    most frequent values are learned.  The matrix is kept below 2^24 entries by
-    using fewer buckets for many languages.
+    At most ``max_train_docs`` different texts, or one for each language, are
+    taken; the ``max_languages`` most frequent values are learned.  The matrix is kept
+    below 2^24 entries by using fewer buckets for many languages.
     """
     known = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("g")).where("g IS NOT NULL")
-    sizes = known.groupBy("g").count().orderBy(F.desc("count"), "g").limit(max_languages).collect()
+    h, lettered = F.shiftrightunsigned(F.xxhash64("t", F.lit(17)), 1), F.col("t").rlike(r"\p{L}")
+    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(lettered, h)).alias("texts"))
+    sizes = sizes.where("texts > 0").orderBy(F.desc("n"), "g").limit(max_languages).collect()
     languages = sorted(r["g"] for r in sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, 0)), np.zeros(0), bits)
     while len(languages) << bits > 1 << 24:
         bits -= 1
-    n = sum(r["count"] for r in sizes)
-    share = min(1.0, max_train_docs / n)
-    sample = known.where((F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("g").isin(languages) if len(languages) <= 64 else F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # what languages with few texts leave is shared by the others
+    most = left = max_train_docs
+    for i, r in enumerate(sorted(sizes, key=lambda r: r["texts"])):
+        most = max(1, left // (len(sizes) - i))
+        if r["texts"] > most:
+            break
+        left -= r["texts"]
+    # candidates are at least ``most`` even where the texts of a language are counted with an error
+    spark = docs.sparkSession
+    below = spark.createDataFrame([(r["g"], min((1 << 63) - 1, int((2 * most + 30) / r["texts"] * 2.0**63))) for r in sizes], "g string, below long")
+    rows = known.where(lettered).withColumn("h", h)
+    candidates = rows.join(F.broadcast(below), "g").where("h <= below").select("g", "h").distinct()
+    last = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("nth") <= most).groupBy("g").agg(F.max("h").alias("last")).collect()
+    last = spark.createDataFrame([(r["g"], r["last"]) for r in last], "g string, last long")  # one row a language
+    sample = rows.join(F.broadcast(last), "g").where("h <= last").dropDuplicates(["g", "h"]).select("t", "g")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        docs_of: dict[str, int] = {}
         for b in batches:
             for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = counts.setdefault(g, np.zeros(1 << bits, np.int64))
-                docs_of[g] = docs_of.get(g, 0) + 1
                 for h in ngram_buckets(t, bits):
                     c += np.bincount(h, minlength=1 << bits)
         if counts:
-            yield pa.RecordBatch.from_pydict({"g": list(counts), "n": [docs_of[g] for g in counts], "c": [zlib.compress(c.tobytes(), 1) for c in counts.values()]}, pa.schema([("g", pa.string()), ("n", pa.int64()), ("c", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"g": list(counts), "c": [zlib.compress(c.tobytes(), 1) for c in counts.values()]}, pa.schema([("g", pa.string()), ("c", pa.binary())]))
 
     total = np.zeros((len(languages), 1 << bits), np.float64)
-    seen = np.zeros(len(languages), np.float64)
+    rows_of = {r["g"]: r["n"] for r in sizes}
+    seen = np.array([rows_of[g] for g in languages], np.float64)
     at = {g: i for i, g in enumerate(languages)}
     # the sample is bounded, so a fixed number of tasks counts it and a fixed number of vectors arrives here
-    for r in sample.repartition(12).mapInArrow(count, "g string, n long, c binary").toLocalIterator():
-        if r["g"] in at:
-            total[at[r["g"]]] += np.frombuffer(zlib.decompress(r["c"]), np.int64)
-            seen[at[r["g"]]] += r["n"]
+    for r in sample.repartition(12).mapInArrow(count, "g string, c binary").toLocalIterator():
+        total[at[r["g"]]] += np.frombuffer(zlib.decompress(r["c"]), np.int64)
     total += smoothing
     log_prob = np.log(total / total.sum(axis=1, keepdims=True)).T.astype(np.float32).copy()
     return LanguageModel(languages, log_prob, np.log((seen + 1) / (seen + 1).sum()), bits)

@@ -152,6 +152,15 @@ def test_language_id(spark):
     assert none.predict("abc") == ("und", 0.0)
 
 
+def test_rare_language_is_learned(spark):
+    rng = random.Random(9)
+    often = [(prose(rng, 8, ["thing", "the", "with", "over"]) + f" {i}", "aa") for i in range(3000)] + [("the thing", "aa")] * 1000
+    rare = [(prose(rng, 8, ["où", "très", "être", "ça"]) + f" {i}", "cc") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame([*often, *rare, ("12", "zz"), (None, "zz")], "text string, lang string"), max_train_docs=40)
+    assert model.languages == ["aa", "cc"] and model.predict("très ça")[0] == "cc"
+    assert np.allclose(np.exp(model.log_prior), np.array([4001, 4]) / 4005)
+
+
 def test_language_slices(monkeypatch):
     text = prose(random.Random(2), 200, ["the", "Über", "x1", "--", "ça va"])
     whole = Counter(np.concatenate(list(language_id.ngram_buckets(text, 16))).tolist())
