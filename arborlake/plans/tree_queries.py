@@ -221,6 +221,11 @@ def mark_live(s, d):
     return graph.closure(R.refs(s, d).where("name LIKE 'src1%'"), R.edges(s, d))
 
 
+@query(f"WITH RECURSIVE {R.GRAPH}, reach AS (SELECT node FROM refs UNION SELECT e.child FROM reach r JOIN edges e ON e.parent = r.node) SELECT node FROM reach")
+def mark_every_live(s, d):
+    return graph.closure(R.refs(s, d), R.edges(s, d))
+
+
 @query(f"WITH RECURSIVE {R.GRAPH}, {_REACH} SELECT name, count(*) AS visited, count(*) FILTER (node NOT IN (SELECT node FROM present)) AS absent FROM reach GROUP BY name")
 def completeness(s, d):
     seen = graph.closure(R.refs(s, d), R.edges(s, d), ("name",)).join(R.present_nodes(s, d).withColumn("there", F.lit(True)), "node", "left")

@@ -55,6 +55,11 @@ def test_every_probe(spark):
     assert got == {(r.source, r.doc_id + 7) for r in docs}
 
 
+def test_every_reference_is_marked(spark):
+    got = [r.node for r in catalogue.QUERIES["mark_every_live"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and {r.node for r in R.refs(spark, SF).collect()} <= set(got)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
