@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, read_table, widened
+from .common import fresh, read_table, widened
 
 LONG = 2048
 LEAF = 512
@@ -152,7 +152,6 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
 
 
 def _mapped(docs: DataFrame, column: str, path: str | None, made: str, kind: str, f, arrow) -> DataFrame:
-    batches_of(docs.sparkSession)
     path = path or default_vocabulary()
     rest = [c for c in docs.columns if c.lower() not in (column.lower(), made.lower())]
     (x,) = fresh(docs.columns + [made], "bpe_input")
@@ -170,7 +169,6 @@ def _mapped(docs: DataFrame, column: str, path: str | None, made: str, kind: str
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """The other columns plus ``n_tokens, ids_sha256, decoded_sha256`` of an encoding and its decoding."""
-    batches_of(docs.sparkSession)
     path = path or default_vocabulary()
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]

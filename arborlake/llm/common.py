@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.tables import discard as drop
+from ..sources.tables import shared_dir, small
+from ..sources.tables import table as read_table
+from ..sources.tables import written as cut
+
+__all__ = ["ASCII_LOWER", "ASCII_UPPER", "SPACES", "cut", "drop", "fresh", "read_table", "shared_dir", "small", "widened"]
+
 #: Word separators of every operator here: space and \t \n \v \f \r (ASCII).
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -19,71 +18,6 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local mode) a folder of this process is made and remembered.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own.get("dir")
-    if not found:
-        found = _own["dir"] = tempfile.mkdtemp(prefix="arborlake-")
-        atexit.register(shutil.rmtree, found, True)
-    return found
-
-
-_own: dict[str, str] = {}
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    The lineage ends there, so a lost executor costs a reread, not a recompute,
-    and a table that is used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and that nothing reads any more, and let go of finished shuffles."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    sc._jvm.System.gc()
-
-
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A written, narrow table marked for broadcast if it has at most ``rows`` rows, else as it is: joins then shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def batches_of(spark: SparkSession, rows: int = 512) -> None:
-    """Bound Arrow batches by rows, so that very long texts stay within a Python worker's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def text_of(df: DataFrame):
-    """The text column, null taken as empty."""
-    return F.coalesce(df["text"].cast("string"), F.lit(""))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words as UTF-8; ``bytes.split`` separates at exactly the six ASCII spaces."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 def fresh(columns: list[str], *wanted: str) -> list[str]:
     """Names for helper columns that clash with none of ``columns`` (compared without case)."""
     taken, out = {c.lower() for c in columns}, []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, read_table
+from .common import cut, read_table
 
 ROWS = 8192
 
@@ -122,7 +122,6 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots: int = 48, sample_rows: int = 2048, block: int = 2048, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows ``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``is_query`` (a column) holds for."""
     spark = vectors.sparkSession
-    batches_of(spark, ROWS)
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("q"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, read_table
+from .common import fresh, read_table
 
 ORDERS = (1, 2, 3)
 SLICE = 1 << 19
@@ -158,7 +158,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_docs:
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``lang_pred`` and ``score``; columns of these names are replaced."""
     spark = docs.sparkSession
-    batches_of(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score")]
     (t,) = fresh(docs.columns, "text_to_score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, drop, fresh, read_table, widened
+from .common import cut, drop, fresh, read_table, widened
 from .wordarrays import normalized, word_ends, word_hashes
 
 CHUNK = 1 << 21
@@ -215,7 +215,6 @@ def frequent_words(texts: DataFrame, most: int) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", shape: Shape = Shape(), share: float = 1.0, rounds: int = 2, rate: float = 0.1, chunk: int = 16384) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and averaged weights, from all documents unless ``share`` is below 1."""
     spark = docs.sparkSession
-    batches_of(spark)
     texts = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     vocabulary = Vocabulary(frequent_words(texts, shape.words - shape.hashed), shape)
     known = spark.sparkContext.broadcast(vocabulary)
@@ -272,7 +271,6 @@ def _added(keys: list[str]):
 def score(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """``docs`` without its text, plus ``n_words, log_prob, mean_log_prob``; columns of these names are replaced."""
     spark = docs.sparkSession
-    batches_of(spark)
     made = ["n_words", "log_prob", "mean_log_prob"]
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]
     (t,) = fresh(docs.columns + made, "lm_text")

@@ -1,32 +1,36 @@
 """Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-A document is its set of distinct n-grams, hashed to 64 bits; the hash gives
-the global n-gram order.
-
-Candidates.  The order is cut into fragments, more than two linked sets can
-differ in n-grams, so that linked sets agree on a whole fragment.  Cuts are made
-for each class of set sizes and used by that class and the next, since linked
-sets lie in neighbouring classes.  A fragment's content travels as one hash; an
-empty fragment is sent only by sets with more empty fragments than the slack of
-the cut allows for, which keeps the guarantee.
-
-Counting.  The order is cut a second time into a few wide fragments; each
-candidate pair's overlap is counted in every fragment separately and the
-partial overlaps are summed per pair, which decides the link.
-
-Links inside a group of near copies are not all visited.  Equal sets are one
-node.  First each node is compared with the first node of the buckets it shares
-most.  Then, in passes, each component picks the closest pairs that may link it
-to another component of a bucket: pairs whose sizes allow a link, and whose
-parity sketches differ in no more bits than linked sets may.  Those not tested
-before are counted, and components merge.  A pass takes 16 times as many pairs
-for each component as the one before, and the passes end when every pair that
-may link two components has been tested, so no link that could join two
-components is lost.
-
-Null or wordless text: an empty set, linked with nothing.  A null id never
-names a component: its row takes the component of equal sets with an id, else
-null.  Rows with one id count as one document, linked if any of them is.
+A document is its set of distinct n-grams, hashed to 64 bits; equal sets are one
+node.  The global n-gram order is by frequency, rare n-grams first, then by hash;
+frequencies come from a table of a fixed number of counters over all documents
+(n-grams that share a counter only make the order less sharp, never wrong).
+
+Candidates.  Linked sets share an n-gram of their first fragments: of a set of
+``s`` n-grams, the first ``s - ceil(t s) + 1`` in the order.  Since these are its
+rarest, a passage that many documents share brings documents together only
+where it makes up all but that part of them.
+
+Counting.  The order of hashes is cut into a few wide fragments; each candidate
+pair's overlap is counted in every fragment separately and the partial overlaps
+are summed per pair, which decides the link.
+
+Links inside a group of near copies are not all visited.  First each node is
+compared with the lead of the n-grams it shares most, the node that has the
+n-gram earliest in its order.  Then, in passes, each component picks the closest
+pairs that may link it to another component of an n-gram: pairs whose sizes and
+places in the order allow a link, and whose parity sketches, which grow with the
+set, differ in no more bits than linked sets may.  Those not tested before are
+counted, and components merge.  A pass takes 16 times as many pairs for each
+component as the one before, and the passes end when every pair that may link
+two components has been tested, so no link that could join two components is
+lost.  Nodes outside an n-gram's main component meet its nodes in blocks, so no
+task holds all nodes of an n-gram.
+
+Null or wordless text: an empty set, linked with nothing.  Rows with one id count
+as one document, linked if any of them is, whatever their texts.  Rows with a
+null id link like others, but never name a component: it is null where no row of
+it has an id.  Repeated rows are equal sets.  Columns that clash with those made
+here are replaced; others keep their names.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,16 +39,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut, drop, read_table, small, widened
+from .common import cut, drop, read_table, small, widened
 from .components import components
 from .wordarrays import mix, normalized, window_hashes, word_ends, word_hashes
 
 CHUNK = 1 << 21
 WIDE = 4
+#: Counters of the frequency table, in blocks, and the smallest parity sketch in 64-bit words.
+COUNTERS, COUNTER_BLOCK = 22, 16
 SKETCH_WORDS = 8
+#: Nodes of an n-gram that one task compares at once.
+BLOCK = 4096
 
 
 def document_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -67,63 +77,30 @@ def document_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         first = end
 
 
-class Cuts:
-    """Size classes and the number of fragments of each, for links of at least ``percent`` / 100."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.lower = [1, 2]
-        self.counts: dict[int, tuple[int, int]] = {}
-
-    def most_different(self, n1, n2):
-        """Largest symmetric difference of linked sets of these sizes."""
-        total = n1 + n2
-        return total - 2 * -(-self.percent * total // (100 + self.percent))
-
-    def grow(self) -> None:
-        """Add a class: it reaches as far as a set may that links with the largest of the class before."""
-        top = self.lower[-1] - 1
-        self.lower.append(max(top + 2, 100 * top // self.percent + 1))
-
-    def of(self, n: int) -> int:
-        while self.lower[-1] <= n:
-            self.grow()
-        return int(np.searchsorted(self.lower, n, side="right")) - 1
-
-    def fragments(self, k: int) -> tuple[int, int]:
-        """(fragments, slack for empty ones) of the cut for classes k and k + 1; none if only equal sets link."""
-        if k not in self.counts:
-            while len(self.lower) < k + 2:
-                self.grow()
-            top = self.lower[k + 1] - 1
-            far = (100 - self.percent) * (top + 100 * top // self.percent) // (100 + self.percent)
-            empty = (far + 2) * np.exp(-self.lower[k] / (far + 2))
-            slack = int(np.ceil(empty + 4 * np.sqrt(empty)))
-            self.counts[k] = (far + 1 + slack, slack) if far else (0, 0)
-        return self.counts[k]
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        if not len(s):
-            return np.zeros(0, np.int64)
-        own, out, mixed = self.of(len(s)), [], mix(s)
-        for k in (own - 1, own):
-            count, slack = self.fragments(k) if k >= 0 else (0, 0)
-            if not count:
-                continue
-            f = ((s >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            name = mix(f[head] + np.uint64((k + 1) << 40))
-            out.append(mix(np.add.reduceat(mixed, head) + name))
-            if count - len(head) > slack:
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), f[head])
-                out.append(mix(empty + np.uint64((k + 1) << 40)))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def most_different(percent: int, n1, n2):
+    """Largest symmetric difference of linked sets of these sizes."""
+    total = n1 + n2
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+def first_fragment(percent: int, n: int) -> int:
+    """Length of the fragment in which a set of n n-grams shares one with every set it links with."""
+    return n - -(-percent * n // 100) + 1 if n else 0
 
 
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the set's elements by hash: sketches differ in at most as many bits as sets do in elements."""
-    bits = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (SKETCH_WORDS * 64 - 1), minlength=SKETCH_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    bits = max(64 * SKETCH_WORDS, 1 << (len(s) - 1).bit_length()) if len(s) else 64 * SKETCH_WORDS
+    odd = np.bincount((mix(s) >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) brought down to a smaller power of two."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def _by_chunks(batches: Iterator[pa.RecordBatch], column: int, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -139,55 +116,94 @@ def _by_chunks(batches: Iterator[pa.RecordBatch], column: int, n: int) -> Iterat
                 start, size, texts = i + 1, 0, []
 
 
-def describe(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """The other columns plus ``size, print1, print2, sketch, signatures`` of each document's set."""
-    schema = widened(docs.drop(text).schema, "size bigint, print1 bigint, print2 bigint, sketch binary, signatures array<bigint>")
-    at = docs.columns.index(text)
+def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
+    """A class (a fourth of a power of two) for each counter of n-gram hashes, over all rows of a one-column table.
+
+    A task sends its counters in compressed blocks, which are added up in two
+    levels as they stream by; what reaches the driver has a fixed size.
+    """
+    size = 1 << COUNTER_BLOCK
+
+    def block(k: int, fan: int, c: np.ndarray) -> pa.RecordBatch:
+        blob = zstandard.ZstdCompressor(level=1).compress(c.astype(np.int64).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([fan], pa.int32()), pa.array([blob], pa.binary())], names=["block", "fan", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting, total = np.zeros(1 << COUNTERS, np.int64), [], 0
+        for _, sets in _by_chunks(batches, 0, n):
+            waiting += sets
+            total += sum(map(len, sets))
+            if total > 1 << 21:
+                held += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+                waiting, total = [], 0
+        if total:
+            held += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        for k in range(len(held) // size):
+            part = held[k * size : (k + 1) * size]
+            if part.any():
+                yield block(k, TaskContext.get().partitionId(), part)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k, fan, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if (k, fan) != now:
+                    if now is not None:
+                        yield block(*now, total)
+                    now, total = (k, fan), np.zeros(size, np.int64)
+                total += np.frombuffer(unpack(c.as_py()), np.int64)
+        if now is not None:
+            yield block(*now, total)
+
+    kind = "block int, fan int, counts binary"
+    fan = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
+    sent = texts.mapInArrow(count, kind).withColumn("fan", (F.col("fan") % fan).cast("int"))
+    for keys in (["block", "fan"], ["block"]):
+        sent = sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, kind).withColumn("fan", F.lit(0) if keys == ["block"] else F.col("fan"))
+    out = np.zeros(1 << COUNTERS, np.int64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    for r in sent.collect():  # at most 64 blocks
+        out[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(unpack(r["counts"]), np.int64)
+    return np.minimum(np.log2(out + 1) * 4, 255).astype(np.uint8)
+
+
+def describe(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+    """All columns but the last, the text, plus ``size, print1, print2, sketch, prefix`` of each document's set."""
+    schema = widened(docs.drop(docs.columns[-1]).schema, "size bigint, print1 bigint, print2 bigint, sketch binary, prefix array<bigint>")
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    low, at = np.uint64((1 << 56) - 1), len(docs.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(percent)
+        table = shared.value
         for batch, sets in _by_chunks(batches, at, n):
+            prefix = []
+            for s in sets:
+                order = np.argsort((table[s >> np.uint64(64 - COUNTERS)].astype(np.uint64) << np.uint64(56)) | (s & low), kind="stable")
+                prefix.append(s[order[: first_fragment(percent, len(s))]].view(np.int64))
             mixed = [mix(s) for s in sets]
-            arrays = [c for i, c in enumerate(batch.columns) if i != at]
-            arrays += [pa.array([len(s) for s in sets], pa.int64())]
+            arrays = [*batch.columns[:-1], pa.array([len(s) for s in sets], pa.int64())]
             arrays += [pa.array(np.array([x.sum(dtype=np.uint64) for x in mixed], np.uint64).view(np.int64))]
             arrays += [pa.array(np.array([mix(x + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in mixed], np.uint64).view(np.int64))]
-            arrays += [pa.array([sketch(s) for s in sets], pa.binary()), pa.array([cuts.signatures(s) for s in sets], pa.list_(pa.int64()))]
+            arrays += [pa.array([sketch(s) for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def shared_buckets(signatures: DataFrame, tasks: int) -> DataFrame:
-    """Rows ``sig, node, lead`` of the signatures that at least two nodes have, without repeats; lead is the smallest of them."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """Rows ``sig, node, size, place, lead`` of the n-grams that the first fragments of at least two nodes have."""
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("place", "sig"))
+    # one row a task for an n-gram, whatever the number of its nodes
+    met = cut(rows.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig"), "met")
+    rows = cut(rows.join(small(met), "sig").select("sig", "node", "size", "place"), "rows")
+    leads = cut(rows.groupBy("sig").agg(F.min_by("node", F.struct("place", "node")).alias("lead")), "leads")
+    out = cut(rows.join(small(leads), "sig").select("sig", "node", "size", "place", "lead"), "buckets")
+    drop(met, rows, leads)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, bool] | None = None  # the last row with its lead, and whether it was sent
-        for b in batches:
-            if not len(b):
-                continue
-            s, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if held is not None:
-                s, v = np.concatenate([[held[0]], s]), np.concatenate([[held[1]], v])
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (v[1:] != v[:-1])
-            s, v = s[new], v[new]
-            same = s[1:] == s[:-1]
-            give = np.zeros(len(s), bool)
-            give[1:] |= same
-            give[:-1] |= same
-            lead = v[np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(s)), 0))]
-            sent = held is not None and held[3]
-            if held is not None:
-                lead[s == held[0]] = held[2]
-            give[0] &= not sent
-            held = (int(s[-1]), int(v[-1]), int(lead[-1]), bool(give[-1]) or (len(s) == 1 and sent))
-            yield pa.RecordBatch.from_arrays([pa.array(s[give]), pa.array(v[give]), pa.array(lead[give])], names=["sig", "node", "lead"])
-
-    return signatures.repartition(tasks, "sig").sortWithinPartitions("sig", "node").mapInArrow(run, "sig long, node long, lead long")
-
-
-def count_links(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
+
+def count_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows ``a, b, n1, n2`` of ``pairs`` whose sets link, by partial overlaps in every wide fragment."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,19 +219,22 @@ def count_links(pairs: DataFrame, sets: DataFrame, cuts: Cuts) -> DataFrame:
     wide = one.join(small(pairs.select("a", "b")), "b").join(two, ["a", "fragment"]).select("a", "b", "fragment", "x", "y")
     partial = wide.mapInArrow(overlap, "a long, b long, fragment int, overlap long")
     total = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    p = cuts.percent
-    return total.join(pairs, ["a", "b"]).where(F.col("overlap") * (100 + p) >= p * (F.col("n1") + F.col("n2"))).select("a", "b")
+    return total.join(pairs, ["a", "b"]).where(F.col("overlap") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("a", "b")
 
 
-def write_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Rows ``node, fragment, part`` for the rows of ``docs`` (``node, text``) named in ``nodes`` (with their ``print1``)."""
-    chosen = docs.join(nodes, "node").select("node", "text", "print1")
+def write_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Rows ``node, fragment, part`` for the nodes of ``wanted`` (node, print1, id, hash), read from the rows of ``docs``
+    (id, hash, text) that represent them."""
+    w = wanted.select("node", "print1", F.col("id").alias("w_id"), F.col("hash").alias("w_hash"))
+    chosen = docs.join(w, (F.col("hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id"))).select("node", "text", "print1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # a node that several equal rows stand for is written once a task
         for batch, sets in _by_chunks(batches, 1, n):
             node, fragment, part = [], [], []
             for v, want, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), sets, strict=True):
-                if int(mix(s).sum(dtype=np.uint64).view(np.int64)) == want:
+                if v not in done and int(mix(s).sum(dtype=np.uint64).view(np.int64)) == want:
+                    done.add(v)
                     f = (s >> np.uint64(62)).astype(np.int64)
                     at = np.searchsorted(f, np.arange(WIDE + 1))
                     for i in range(WIDE):
@@ -228,27 +247,49 @@ def write_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return cut(chosen.mapInArrow(run, "node long, fragment int, part binary"), "sets")
 
 
-def nearest_partners(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketches: np.ndarray, cuts: Cuts, k: int) -> list[np.ndarray]:
-    """For each component of a bucket but its largest, the k closest pairs that may link it to another one.
+class Side:
+    """Nodes of one n-gram: node, component, size, place in the node's order, and sketches by their width."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.comp, self.size, self.place = (rows.column(c).to_numpy() for c in ("node", "comp", "size", "place"))
+        blobs = rows.column("sketch").to_pylist()
+        width = np.array([len(x) // 8 for x in blobs], np.int64)
+        self.sketches = {int(w): (i := np.flatnonzero(width == w), np.frombuffer(b"".join([blobs[j] for j in i]), np.uint64).reshape(-1, int(w))) for w in np.unique(width)}
+
+
+def nearest_partners(probe: Side, members: Side, percent: int, k: int) -> list[np.ndarray]:
+    """For each component of ``probe`` the k closest pairs that may link it to another component's member.
 
     Columns comp, a, b, n1, n2, differ, more (1 where the component has further
-    pairs here).  Closeness is the difference of the parity sketches, which no
-    link exceeds by more than its sets differ.
+    pairs here).  In the first n-gram that linked sets share, what follows it in
+    both must hold the rest of their overlap.  Closeness is the difference of the
+    parity sketches, which no link exceeds by more than its sets differ.
     """
-    values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(inverse != counts.argmax())
-    found: list[np.ndarray] = []
-    block = max(1, (1 << 19) // max(1, len(node)))
-    for lo in range(0, len(rows), block):
-        i = rows[lo : lo + block]
-        n1, n2 = size[i][:, None], size[None, :]
-        ok = (comp[i][:, None] != comp[None, :]) & (cuts.percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2))
-        x, y = np.nonzero(ok)
-        differ = np.bitwise_count(sketches[i[x]] ^ sketches[y]).sum(axis=1).astype(np.int64)
-        good = differ <= cuts.most_different(size[i[x]], size[y])
-        x, y, differ = i[x[good]], y[good], differ[good]
-        found.append(np.column_stack([comp[x], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.where(node[x] < node[y], size[x], size[y]), np.where(node[x] < node[y], size[y], size[x]), differ]))
-    t = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+    found: list[np.ndarray] = [np.zeros((0, 6), np.int64)]
+    for w1, (rows, own) in probe.sketches.items():
+        for w2, (others, theirs) in members.sketches.items():
+            if max(w1, w2) > 2 * min(w1, w2):
+                continue
+            words = min(w1, w2)
+            own_, theirs_ = folded(own, words), folded(theirs, words)
+            step = max(1, (1 << 19) // max(1, len(others)))
+            for lo in range(0, len(rows), step):
+                i = rows[lo : lo + step]
+                n1, n2 = probe.size[i][:, None], members.size[others][None, :]
+                rest = 1 + np.minimum(n1 - 1 - probe.place[i][:, None], n2 - 1 - members.place[others][None, :])
+                ok = (probe.comp[i][:, None] != members.comp[others][None, :]) & (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
+                x, y = np.nonzero(ok)
+                differ = np.zeros(len(x), np.int64)
+                for at in range(0, len(x), max(1, (1 << 21) // words)):
+                    part = slice(at, at + max(1, (1 << 21) // words))
+                    differ[part] = np.bitwise_count(own_[lo + x[part]] ^ theirs_[y[part]]).sum(axis=1)
+                x, y = i[x], others[y]
+                good = differ <= most_different(percent, probe.size[x], members.size[y])
+                x, y, differ = x[good], y[good], differ[good]
+                a, b, n1, n2 = probe.node[x], members.node[y], probe.size[x], members.size[y]
+                swap = a > b
+                found.append(np.column_stack([probe.comp[x], np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n2, n1), np.where(swap, n1, n2), differ]))
+    t = np.concatenate(found)
     t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 5], t[:, 0]))]
     head = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]])) if len(t) else np.zeros(0, np.int64)
     each = np.diff(np.append(head, len(t)))
@@ -257,79 +298,79 @@ def nearest_partners(node: np.ndarray, comp: np.ndarray, size: np.ndarray, sketc
     return [*t[kept].T, np.repeat(each > k, each)[kept].astype(np.int64)]
 
 
-def candidates(members: DataFrame, cuts: Cuts, k: int, tasks: int) -> DataFrame:
-    """Rows ``sig, comp, a, b, n1, n2, differ, more`` of every bucket (``sig, node, comp, size, sketch``)."""
+def candidates(members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Rows ``sig, comp, a, b, n1, n2, differ, more`` of every n-gram (``sig, node, comp, size, place, sketch``).
+
+    The nodes outside an n-gram's main component, in blocks, meet all its nodes,
+    in blocks; a pair of blocks is a group, so a group has at most two blocks.
+    """
     names = ["sig", "comp", "a", "b", "n1", "n2", "differ", "more"]
+    groups = ["sig", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            sig, node, comp, size = (t.column(i).to_numpy() for i in range(4))
-            flat = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-            edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
+            key = np.column_stack([t.column(c).to_numpy() for c in groups])
+            side = t.column("side").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                x = nearest_partners(node[i:j], comp[i:j], size[i:j], flat[i:j], cuts, k)
-                for o, v in zip(out, [np.full(len(x[0]), sig[i]), *x], strict=True):
+                m = i + int(side[i:j].sum())  # those of side 1 come first
+                x = nearest_partners(Side(t.slice(i, m - i)), Side(t.slice(m, j - m)), percent, k)
+                for o, v in zip(out, [np.full(len(x[0]), key[i, 0]), *x], strict=True):
                     o.append(v)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=names)
 
         for b in batches:
             if not len(b):
                 continue
-            # all buckets that have ended are done together; the last may go on in the next batch
-            last = b.column(0)[len(b) - 1]
-            start = int(np.searchsorted(b.column(0).to_numpy(), last.as_py()))
-            if start or held and held[-1].column(0)[0] != last:
+            # all groups that have ended are done together; the last may go on in the next batch
+            key = np.column_stack([b.column(i).to_numpy() for i in range(3)])
+            start = int(np.argmax((key == key[-1]).all(axis=1)))
+            if held and [c[0].as_py() for c in held[-1].columns[:3]] != key[0].tolist():
+                yield done(pa.Table.from_batches(held))
+                held = []
+            if start:
                 yield done(pa.Table.from_batches([*held, b.slice(0, start)]))
                 held = []
             held.append(b.slice(start))
         if held:
             yield done(pa.Table.from_batches(held))
 
-    dealt = members.select("sig", "node", "comp", "size", "sketch").repartition(tasks, "sig").sortWithinPartitions("sig", "node")
+    count = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
+    count = count.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = count.select("sig", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ones"), F.ceil(F.col("all") / BLOCK).alias("twos"))
+    m = members.join(blocks, "sig")
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    row = ["node", "comp", "size", "place", "sketch"]
+    probe = m.where("comp <> main").select("sig", block(1, "ones").alias("one"), every("twos").alias("two"), F.lit(1).alias("side"), *row)
+    rest = m.select("sig", every("ones").alias("one"), block(2, "twos").alias("two"), F.lit(0).alias("side"), *row)
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = probe.unionByName(rest).repartition(tasks, *groups).sortWithinPartitions(*groups, F.desc("side"), "node")
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """``docs`` without its text, plus ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    spark = docs.sparkSession
-    batches_of(spark)
-    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "n_shingles", "component_id")]
-    own = [f"rest{k}" for k in range(len(rest))]
-    src = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(rest, own, strict=True)], F.col(f"`{id_column}`").cast("long").alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
-    cuts = Cuts(percent)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * src.rdd.getNumPartitions())
-
-    described = cut(describe(src, "text", n, percent), "described")
-    prints = ["size", "print1", "print2"]
-    classes = cut(described.where("size > 0").groupBy(*prints).agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    # of each class, the row with its smallest id: classes of one row need no lookup
-    shared = small(cut(classes.where("copies > 1").select(*prints, F.col("node").alias("first")), "shared"))
-    named = described.where("node IS NOT NULL AND size > 0")
-    only = named.join(shared, prints, "left").where("first IS NULL OR first = node")
-    chosen = only.select("node", "signatures")
-    buckets = cut(shared_buckets(chosen.select(F.explode("signatures").alias("sig"), "node"), tasks), "buckets")
-    about = cut(only.select("node", *prints, "sketch").join(buckets.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "nodes")
-    slim = cut(described.select(*own, "node", *prints), "slim")
-    drop(described)
-
-    sets = write_sets(src.select("node", "text"), small(about.select("node", "print1")), n)
-    sizes = about.select("node", "size", "sketch")
-    # first, each node with the lead of the buckets that it shares most
-    best = buckets.where("lead < node").groupBy("node", "lead").count().groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
-    pairs = best.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("n1")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("n2")), "b")
-    pairs = cut(pairs.where(f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)").select("a", "b", "n1", "n2"), "pairs")
-    links = cut(count_links(pairs, sets, cuts), "links")
+def links_of(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows ``a, b``: links between nodes, enough to have the same components as all links."""
+    about = cut(nodes.join(small(cut(buckets.select("node").distinct(), "in_buckets")), "node", "left_semi").select("node", "print1", "id", "hash", "sketch"), "about")
+    sets = write_sets(docs, about.select("node", "print1", "id", "hash"), n)
+    # first, each node with the lead of the n-grams that it shares most
+    sizes = buckets.select(F.col("node").alias("a"), F.col("size").alias("n1")).distinct()
+    best = buckets.where("lead <> node").groupBy("node", "size", "lead").count().groupBy(F.col("node").alias("b"), F.col("size").alias("n2")).agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
+    pairs = best.join(sizes, "a").where(f"{percent} * greatest(n1, n2) <= 100 * least(n1, n2)")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n1")).otherwise(F.col("n2")).alias("n1"), F.when(F.col("a") < F.col("b"), F.col("n2")).otherwise(F.col("n1")).alias("n2"))
+    pairs = cut(pairs.distinct(), "pairs")
+    links = cut(count_links(pairs, sets, percent), "links")
     found = components(links)
 
     tested, left, k = pairs.select("a", "b"), buckets, 1
     while True:
-        members = left.select("sig", "node").join(found.select("node", F.col("component").alias("comp")), "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        members = left.join(found.select("node", F.col("component").alias("comp")), "node", "left").select("sig", "node", "size", "place", F.coalesce("comp", "node").alias("comp"))
         unsettled = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        members = members.join(unsettled, "sig", "left_semi").join(sizes, "node")
-        near = cut(candidates(members, cuts, k, tasks), "near")
+        members = cut(members.join(unsettled, "sig", "left_semi").join(about.select("node", "sketch"), "node"), "members")
+        near = cut(candidates(members, percent, k), "near")
         order = Window.partitionBy("comp").orderBy("differ", "a", "b")
         picks = near.select("comp", "a", "b", "n1", "n2", "differ").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         pairs = cut(picks.select("a", "b", "n1", "n2").distinct().join(small(tested), ["a", "b"], "left_anti"), "pairs")
@@ -339,21 +380,58 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                 break
         else:
             tested = cut(tested.unionByName(pairs.select("a", "b")), "tested")
-            more = cut(count_links(pairs, sets, cuts), "links")
+            more = cut(count_links(pairs, sets, percent), "links")
             if not more.isEmpty():
                 links = links.unionByName(more)
                 found = components(links)
-        # a bucket without a pair that may link never gets one
+        # an n-gram without a pair that may link never gets one
         still = cut(left.join(near.select("sig").distinct(), "sig", "left_semi"), "buckets")
-        drop(left)
+        drop(members, near)
+        if left is not buckets:
+            drop(left)
         left, k = still, 16 * k
-    drop(left)
-    drop(sets)
+    drop(sets, about, members, near)
+    return links
+
+
+def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """``docs`` without its text, plus ``n_shingles``, ``component_id`` (the smallest id reachable by links) and
+    ``leads_group``: true for one row of each group that links alone hold together, that of its smallest id."""
+    made = ("n_shingles", "component_id", "leads_group")
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]
+    own = [f"rest{k}" for k in range(len(rest))]
+    body = F.col(f"`{text}`").cast("string")
+    src = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(rest, own, strict=True)], F.col(f"`{id_column}`").cast("long").alias("id"), F.xxhash64(body).alias("hash"), body.alias("text"))
+
+    described = describe(src, frequency_classes(src.select("text"), n), n, percent)
+    described = cut(described.withColumn("row", F.monotonically_increasing_id()), "described")
+    prints = ["size", "print1", "print2"]
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "hash"))
+    nodes = described.where("size > 0").groupBy(*prints).agg(first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *prints, "first.id", "first.row", "first.hash", "sketch", "prefix"), "nodes")
+    buckets = shared_buckets(nodes)
+    links = links_of(src.select("id", "hash", "text"), nodes, buckets, n, percent)
+    found = components(links)
 
-    named = classes.join(found, "node", "left").select(F.col("size").alias("s0"), F.col("print1").alias("p1"), F.col("print2").alias("p2"), F.coalesce("component", "node").alias("c0"))
-    out = slim.join(named, (slim["size"] == F.col("s0")) & (slim["print1"] == F.col("p1")) & (slim["print2"] == F.col("p2")), "left")
+    # groups by links alone, each with its first row
+    grouped = nodes.select("node", *prints, "id", "row").join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    lead = grouped.groupBy("group").agg(F.min("id").alias("least"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("lead"))
+    # ids with several rows join the groups of these
+    again = described.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    of = cut(described.select("id", *prints).join(again, "id", "left_semi").distinct().join(grouped.select(*prints, "group"), prints).select("id", "group").distinct(), "named")
+    named = of.groupBy("id").agg(F.min("group").alias("first"))
+    merged = components(of.join(named, "id").select(F.col("first").alias("a"), F.col("group").alias("b")))
+    lead = cut(lead.join(merged.select(F.col("node").alias("group"), "component"), "group", "left").withColumn("whole", F.coalesce("component", "group")).drop("component"), "groups")
+    whole = lead.groupBy("whole").agg(F.min("least").alias("component_id"))
+    names = cut(grouped.select("node", *prints, "group").join(lead, "group").join(whole, "whole").select(*[F.col(p).alias(f"n_{p}") for p in prints], "group", "lead", "component_id"), "names")
+    by_id = named.select("id", F.col("first").alias("group")).join(lead.select("group", "whole"), "group").join(whole, "whole").select(F.col("id").alias("of_id"), F.col("component_id").alias("by_id"))
+
+    same = (F.col("size") == F.col("n_size")) & (F.col("print1") == F.col("n_print1")) & (F.col("print2") == F.col("n_print2"))
+    out = described.select(*own, "id", "row", *prints).join(names, same, "left").join(small(cut(by_id, "by_id")), F.col("id") == F.col("of_id"), "left")
+    drop(nodes, buckets)
+    component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.coalesce("by_id", "id"))
     named_back = [F.col(o).alias(c) for c, o in zip(rest, own, strict=True)]
-    return out.select(*named_back, F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("node")).otherwise(F.col("c0")).alias("component_id"))
+    return out.select(*named_back, F.col("size").alias("n_shingles"), component.alias("component_id"), ((F.col("size") == 0) | (F.col("row") == F.col("lead"))).alias("leads_group"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

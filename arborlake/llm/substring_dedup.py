@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, fresh, read_table, widened
+from .common import fresh, read_table, widened
 from .wordarrays import inverse, mix, normalized, powers, sliding_min, window_hashes, word_ends, word_hashes
 
 #: Bytes of text that are tokenized at once, and bytes of packed strings that are sent at once.
@@ -178,7 +178,6 @@ def repeats(blobs: list[bytes], k: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int, minimiser: int) -> DataFrame:
     """Rows ``key1, key2, start, stop``: words of repeated windows."""
     spark = docs.sparkSession
-    batches_of(spark)
     part = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
     mega = int(part[:-1]) * {"k": 1 / 1024, "m": 1, "g": 1024}[part[-1]] if part[-1].isalpha() else int(part) / 2**20
     # about 6 times the input is sent; a bucket holds some megabytes, a task some buckets

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, batches_of, fresh, read_table
+from .common import ASCII_LOWER, ASCII_UPPER, fresh, read_table
 
 SUFFIX_BUCKETS = 1024
 
@@ -148,7 +148,6 @@ class BoostedTrees:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str = "url", max_train_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
     """``pages`` plus ``host, path, rule, verdict, block_score`` (null where a rule decides)."""
     spark = pages.sparkSession
-    batches_of(spark, 4096)
     made = ["host", "path", "rule", "verdict", "block_score"]
     rest = [c for c in pages.columns if c.lower() not in made]
     (u,) = fresh(pages.columns + made, "url_to_judge")

@@ -351,24 +351,34 @@ def test_lines(spark):
 
 
 def brute_components(rows, n, percent):
-    sets = {}
+    """id: (sizes of its sets, smallest id reachable); ids link if any of their rows do."""
+    sets = []
     for i, t in rows:
         w = [x.encode().lower().decode() for x in W.findall(t or "")]
-        sets.setdefault(i, set()).update([tuple(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else [])
-    up = {i: i for i in sets if i is not None}
+        sets.append((i, frozenset([tuple(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [tuple(w)] if w else [])))
+    up = list(range(len(sets)))
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = [i for i in up if sets[i]]
-    for a in ids:
-        for b in ids:
-            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = top(a), top(b)
-                up[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), top(i)) for i in up}
+    for x, (i, a) in enumerate(sets):
+        for y, (j, b) in enumerate(sets[:x]):
+            if i is not None and i == j or a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[top(x)] = top(y)
+    out = {}
+    for x, (i, a) in enumerate(sets):
+        ids = [j for y, (j, _) in enumerate(sets) if top(y) == top(x) and j is not None]
+        out.setdefault(i, []).append((len(a), min(ids, default=None)))
+    return {i: sorted(v, key=repr) for i, v in out.items()}
+
+
+def joined(df, **kw):
+    out = {}
+    for r in ngram_join.link_components(df, **kw).collect():
+        out.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id))
+    return {i: sorted(v, key=repr) for i, v in out.items()}
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
@@ -386,28 +396,61 @@ def test_ngram_join(spark, n, percent):
             at += 1
     common = " ".join(f"c{i}" for i in range(50))
     rows += [(at + i, common + " " + prose(rng, 40)) for i in range(30)] + [(at - 1, rows[-1][1])]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int").repartition(3)
-    got = ngram_join.link_components(df, n=n, percent=percent).collect()
-    assert len(got) == len(rows) and got[0].size == 1
-    want = brute_components(rows, n, percent)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
-    assert {(r.n_shingles, r.component_id) for r in got if r.doc_id is None} == {(1, 7), (0, None), (4 - n + 1 if n <= 4 else 1, None)}
+    rows += [(50, rows[12][1]), (50, rows[60][1]), (51, None), (51, rows[20][1]), (None, " ".join(common.split()[:49] + ["x"]))]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, True) for i, t in rows], "doc_id long, text string, size int, Component_ID int, hash int, leads_group boolean").repartition(3)
+    assert ngram_join.link_components(df, n=n, percent=percent).columns == ["doc_id", "size", "hash", "n_shingles", "component_id", "leads_group"]
+    assert joined(df, n=n, percent=percent) == brute_components(rows, n, percent)
     assert ngram_join.link_components(df.where("false")).count() == 0
 
 
-def test_fragments_guarantee():
-    """Linked sets share a signature, whatever elements they differ in."""
+def test_ngram_join_of_repeated_ids(spark):
+    """An id with several texts is linked by each of them; groups by links alone are not merged by it."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "other text"), (4, None), (None, b + " y"), (None, "nameless")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(df) == brute_components(rows, 4, 85)
+    assert joined(df)[3] == [(58, 1)]
+    leads = ngram_join.link_components(df.withColumn("copy", F.col("text"))).where("leads_group").collect()
+    assert sorted((str(r.doc_id), (r.copy or "")[:2]) for r in leads) == [("1", "a0"), ("1", "b0"), ("4", ""), ("4", "ot"), ("None", "na")]
+
+
+def test_a_shared_passage_makes_no_candidates(spark):
+    """Documents that share two thirds of their words, none linked: no n-gram of a first fragment is shared."""
+    rng = random.Random(5)
+    passage = prose(rng, 2500, [f"p{i}" for i in range(5000)])
+    rows = [(i, passage + " " + " ".join(f"d{i}x{j}" for j in range(1200))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    nodes = ngram_join.describe(df, ngram_join.frequency_classes(df.select("text"), 4), 4, 85)
+    assert ngram_join.shared_buckets(nodes.withColumnRenamed("id", "node")).count() < 40
+    assert {v[0][1] for v in joined(df.withColumnRenamed("id", "doc_id")).values()} == set(range(40))
+
+
+def test_blocks_of_a_shared_ngram(spark, monkeypatch):
+    """Chains of near copies in which few pairs link, compared in small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    words, rows = [f"v{i}" for i in range(100)], []
+    for i in range(60):
+        words[(7 * i) % 100] = f"z{i}"
+        rows.append(((31 * i) % 60, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert joined(df) == brute_components(rows, 4, 85)
+
+
+def test_first_fragments_and_sketches():
+    """Linked sets share an element of their first fragments in any order, and sketches bound their difference from below."""
     rng = np.random.default_rng(11)
     for percent in (85, 80):
-        cuts = ngram_join.Cuts(percent)
-        for n in [*range(6, 60, 5), 150, 700, 3000]:
+        for n in [*range(1, 60, 3), 150, 700, 3000]:
             for _ in range(20):
                 a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-                limit = next(d for d in range(n, -1, -1) if 100 * (len(a) - d) >= percent * (len(a) + 0))
-                b = np.sort(np.delete(a, rng.choice(len(a), limit, replace=False)))
-                assert set(cuts.signatures(a)) & set(cuts.signatures(b)) or not limit
-                x = np.frombuffer(ngram_join.sketch(a), np.uint64) ^ np.frombuffer(ngram_join.sketch(b), np.uint64)
-                assert np.bitwise_count(x).sum() <= limit
+                limit = next(d for d in range(n, -1, -1) if 100 * (n - d) >= percent * n)
+                order = rng.permutation(a)
+                b = np.setdiff1d(a, order[:limit])  # the worst case: what a lacks is first in the order
+                rest = order[limit:]
+                assert set(order[: ngram_join.first_fragment(percent, n)]) & set(rest[: ngram_join.first_fragment(percent, len(b))])
+                x, y = (np.frombuffer(ngram_join.sketch(s), np.uint64)[None, :] for s in (a, b))
+                words = min(x.shape[1], y.shape[1])
+                assert np.bitwise_count(ngram_join.folded(x, words) ^ ngram_join.folded(y, words)).sum() <= limit <= ngram_join.most_different(percent, n, len(b))
 
 
 def test_components(spark, monkeypatch):
