@@ -291,33 +291,97 @@ def test_packing(docs, tokenizer):
 # op 6
 
 
-def test_masked_lm(spark):
+def lm_parts(df, shape, shard_words=1 << 20):
+    body = F.coalesce("text", F.lit(""))
+    texts = df.select(F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit(41)).alias("k2"), body.alias("t"))
+    dealt = masked_lm.deal(texts, masked_lm.learn_vocabulary(texts.select("t"), shape), shard_words)
+    return dealt, masked_lm.fit(dealt)
+
+
+def plain_log_prob(texts, vocabulary, flat, shape):
+    """Every document's log-probability, word by word, without any of the operator's arrays."""
+    emb, w, b, wc, bc, wi, bi, gates = (x.astype(float) for x in shape.split(flat))
+    split = [t.lower().split() for t in texts]
+    pad = lambda d: [None, None, *d, None, None]
+    around = lambda d, i: (*pad(d)[i : i + 2], *pad(d)[i + 3 : i + 5])
+    seen = [Counter(around(d, i) for i in range(len(d))) for d in split]
+    hits = [Counter((around(d, i), x) for i, x in enumerate(d)) for d in split]
+    all_seen, all_hits = sum(seen, Counter()), sum(hits, Counter())
+
+    def number(x):
+        if x is None:
+            return shape.words
+        n = normalized(x)
+        return int(vocabulary.ids(word_hashes(n, word_ends(n)))[0])
+
+    def pick(scores, k):
+        return scores[k] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
+
+    out = []
+    for d, s, h in zip(split, seen, hits, strict=True):
+        total = 0.0
+        for i, x in enumerate(d):
+            hid = np.tanh(np.concatenate([emb[number(y)] for y in around(d, i)]) @ w + b)
+            y = number(x)
+            c, inner = y % shape.classes, y // shape.classes
+            p = pick(hid @ wc + bc, c) + pick(hid @ wi[c] + bi[c], inner)
+            if y == shape.rare:
+                p += sum(vocabulary.spelling[u, v] for u, v in zip(b" " + x, x + b" ", strict=True))
+            n = all_seen[around(d, i)] - s[around(d, i)]
+            if n:
+                g = 1 / (1 + np.exp(-gates[min(int(np.log2(n)), len(gates) - 1)]))
+                p = np.log((1 - g) * np.exp(p) + g * (all_hits[around(d, i), x] - h[around(d, i), x]) / n)
+            total += p
+        out.append(total)
+    return out
+
+
+def test_masked_lm_equals_a_plain_version(spark):
+    rng, shape = random.Random(10), masked_lm.Shape(classes=8, width=4, hidden=6, gates=3)
+    texts = [prose(rng, rng.randint(0, 40), VOCAB[:80]) for _ in range(60)] + ["", "alone", " \t two  words\n"]
+    texts += texts[:20] + [texts[0]] + [x + " more" for x in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    dealt, flat = lm_parts(df, shape)
+    want = plain_log_prob([t.encode() for t in texts], dealt.vocabulary, flat, shape)
+    got = {r.doc_id: r for r in masked_lm.score_corpus(df, shape=shape).collect()}
+    assert np.allclose([got[i].log_prob for i in range(len(texts))], want, rtol=1e-4, atol=1e-4)
+    assert [got[i].n_words for i in range(len(texts))] == [len(t.split()) for t in texts]
+
+
+def test_masked_lm_learns_from_both_sides(spark):
+    """Better than the unigram of the same ids, worse on shuffled words, the same for any partitions; copies stand out; odd rows."""
     rng = random.Random(10)
     pairs = [(f"left{i}", f"right{i}") for i in range(30)]
     text = lambda n: " ".join(x for _ in range(n) for x in rng.choice(pairs))
     docs = [(i, text(60)) for i in range(1500)]
-    shuffled = [(10_000 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in docs[:100]]
-    odd = [(20_000, None), (20_001, ""), (20_002, "alone"), (None, "left1 right1"), (20_003, text(60_000))]
-    df = spark.createDataFrame(docs + shuffled + odd, "doc_id long, text string").repartition(4)
-    vocabulary, flat = masked_lm.fit(df, share=1.0)
-    got = {r.doc_id: r for r in masked_lm.score(df, vocabulary, flat).collect()}
+    rows = docs + [(10_000 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in docs[100:200]] + [(30_000 + i, t) for i, t in docs[:50]]
+    rows += [(20_000, None), (20_001, ""), (20_002, "alone"), (None, "left1 right1"), (20_003, text(60_000))]
+    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t in rows], "doc_id long, text string, Log_Prob double, k1 string").repartition(4)
+    parts = {k: {r.doc_id: r for r in masked_lm.score_corpus(df.repartition(k), shard_words=60_000).collect()} for k in (1, 8)}
+    got = parts[1]
+    assert masked_lm.score_corpus(df).columns == ["doc_id", "k1", "n_words", "log_prob", "mean_log_prob"]
+    assert all(abs(parts[8][i].log_prob - r.log_prob) <= 1e-6 * max(1, abs(r.log_prob)) for i, r in got.items())
     mean = lambda ids: np.mean([got[i].mean_log_prob for i in ids])
-    assert mean(range(100)) > mean(range(10_000, 10_100)) + 0.5
+    count = Counter(x for _, t in rows for x in (t or "").split())
+    unigram = np.mean([np.log(count[x] / sum(count.values())) for i, t in docs[200:] for x in t.split()])
+    assert mean(range(200, 1500)) > unigram + 0.2 and mean(range(200, 1500)) > mean(range(10_100, 10_200)) + 0.3
+    assert mean(range(50)) > -0.6 and mean(range(30_000, 30_050)) > -0.6
     assert (got[20_000].n_words, got[20_000].log_prob, got[20_000].mean_log_prob) == (0, 0.0, None) and got[20_001].n_words == 0 and got[20_003].n_words == 120_000
-    again = {r.doc_id: r for r in masked_lm.score(df.where("doc_id < 50").repartition(1), vocabulary, flat).collect()}
-    assert all(abs(again[i].log_prob - got[i].log_prob) < 1e-3 for i in range(50))
-    assert masked_lm.score(empty(spark), *masked_lm.fit(empty(spark))).count() == 0
-
-
-@pytest.mark.parametrize("text", ["one text in many copies", "another text of five words"])
-def test_masked_lm_trains_on_every_document(spark, text):
-    _, flat = masked_lm.fit(spark.createDataFrame([(text,)] * 20, "text string"))
-    assert not np.array_equal(flat, masked_lm.Shape().start())
-
-
-def test_context_stays_in_the_text():
-    near = masked_lm.contexts(np.array([1, 2, 3, 4, 5]), np.array([3, 0, 2]), 99)
-    assert near.tolist() == [[99, 99, 2, 3], [99, 1, 3, 99], [1, 2, 99, 99], [99, 99, 5, 99], [99, 4, 99, 99]]
+    assert masked_lm.score_corpus(empty(spark)).count() == 0
+
+
+def test_slices_of_long_texts(monkeypatch):
+    """A text's words are the same, with the same neighbours, in slices."""
+    rng = random.Random(11)
+    text = prose(rng, 500, VOCAB[:50]).encode()
+    v = masked_lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), 0, np.zeros(1 << 16), masked_lm.Shape())
+    whole = masked_lm.read_words([b"a b", text, b""], v)
+    monkeypatch.setattr(masked_lm, "SLICE_WORDS", 64)
+    monkeypatch.setattr(masked_lm, "CHUNK", 700)
+    cut_up = masked_lm.read_words([b"a b", text, b""], v)
+    assert whole.inside.all() and (cut_up.h[cut_up.inside] == whole.h).all() and (cut_up.text[cut_up.inside] == whole.text).all()
+    near = lambda x: masked_lm.neighbours(x.h, x.piece, np.uint64(0))[x.inside]
+    assert (near(cut_up) == near(whole)).all() and np.allclose(cut_up.spelled[cut_up.inside], whole.spelled)
 
 
 # op 8
