@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BinaryType, NumericType
 
 _own: dict[str, str] = {}
 _written: set[str] = set()
@@ -82,8 +82,12 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.written_to)
 
 
-def small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
-    """A written table of numbers, marked for broadcast if its rows have at most ``most`` bytes, else as it is: joins then shuffle."""
-    if not all(isinstance(f.dataType, NumericType) for f in df.schema.fields):
+def small(df: DataFrame, most: int = 32 << 20, binary: int = 0) -> DataFrame:
+    """A written table marked for broadcast if its rows have at most ``most`` bytes, else as it is: joins then shuffle.
+
+    Its columns are numbers, or BINARY values of exactly ``binary`` bytes.
+    """
+    if not all(isinstance(f.dataType, NumericType) or binary and isinstance(f.dataType, BinaryType) for f in df.schema.fields):
         raise TypeError("only columns of fixed width have a provable size")
-    return F.broadcast(df) if df.count() * 8 * (1 + len(df.columns)) <= most else df
+    width = 8 + sum(8 if isinstance(f.dataType, NumericType) else binary + 16 for f in df.schema.fields)
+    return F.broadcast(df) if df.count() * width <= most else df
