@@ -2,20 +2,24 @@
 
 Known shapes are assignments, access keys and long hexadecimal runs.  Beyond
 them, every run of 20 or more characters of an encoding alphabet is a candidate.
-Its encoding is inferred (hex, base32, base62, base64), and three tests must not
-reject that its characters are random draws from that alphabet: chi-squared
-uniformity, Wald-Wolfowitz runs of character classes, and serial correlation of
-neighbouring characters.
-
-Short strings can look random by chance.  So each candidate also gets a score
-under the opposite hypothesis, that it is composed like text (letter frequencies
-as in prose, few changes of character class): how far its uniformity and its
-class changes lie from what text of that length shows.  Text of greater length
-lies further off, so the score has the length in it.  Benjamini-Hochberg within
-each class of lengths (powers of two) then bounds the share of false finds; it
-needs only counts by length class and score step, at most 64 x 512 numbers.
-
-Positions are code points, end exclusive.  Null text counts as empty.
+Its encoding is inferred (hex, base32, base62, base64), and three tests compare
+it with random draws from that alphabet: chi-squared uniformity, Wald-Wolfowitz
+runs of character classes, and serial correlation of neighbouring characters.
+Fisher's method combines their p-values; a candidate that the combination
+rejects is not random.
+
+Short strings can look random by chance.  So the same three statistics also give
+p-values under the opposite hypothesis, that the candidate is composed like text
+(letter frequencies of prose, few changes of character class, neighbours alike).
+They are combined by Stouffer's method, and text of greater length lies further
+off, so length counts.  Benjamini-Hochberg within each class of lengths (powers
+of two) then bounds the share of false finds; it needs only counts by length
+class and score step, at most 64 x 512 numbers.
+
+Positions are code points, end exclusive.  Null text counts as empty: no spans.
+Repeated rows are scanned each on its own and count each in the control.  Columns
+named ``base`` or ``spans`` are replaced, others keep their names; an empty table
+gives none.  Scores that tie at a limit are finds alike.
 """
 
 from __future__ import annotations
@@ -35,17 +39,22 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 BLOCK = 128
-#: Alphabets: name, shape, symbols. Fixed values.
+#: Alphabets: name, shape, symbols; and of text in them: probability that two characters are equal, and that neighbours
+#: differ in class. Fixed values.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
-    ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
-    ("base62", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
-    ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
-    ("base64", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/"),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.2, 0.1),
+    ("base32", r"^[A-Z2-7]+$", UPPER + "234567", 0.065, 0.1),
+    ("base62", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.065, 0.3),
+    ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.065, 0.3),
+    ("base64", r"^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/", 0.065, 0.3),
 )
-#: Of text: probability that two letters are equal, and that neighbours differ in class. Fixed values.
-TEXT_EQUAL, TEXT_CHANGE = 0.065, 0.2
+#: Correlation of neighbours in text, by place in the alphabet. Fixed value.
+TEXT_SERIAL = 0.2
+#: Least combined p-value of the three tests at which a candidate counts as random.
+RANDOM_LEAST = 0.005
+#: Polynomial of the complementary error function (Abramowitz and Stegun 7.1.26). Fixed values.
+ERFC = (0.3275911, 0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 #: Score steps of the false-discovery count.
 STEP, LOWEST, STEPS = 0.125, -16.0, 512
 
@@ -81,12 +90,19 @@ def with_matches(df: DataFrame, text: str, pattern: str, out: str, group: int |
     return df.select(*keep, made.alias(out))
 
 
+def two_sided(z: Column) -> Column:
+    """p-value of a standard normal deviate, either way; at least the smallest positive double that logarithms bear."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + ERFC[0] * x)
+    poly = t * (ERFC[1] + t * (ERFC[2] + t * (ERFC[3] + t * (ERFC[4] + t * ERFC[5]))))
+    return F.greatest(poly * F.exp(-x * x), F.lit(1e-300))
+
+
 def score(token: Column) -> Column:
-    """(tests passed, score, length class) of a candidate, as a struct."""
+    """(random: combined p-value of the tests, score: combined deviate from text, length class) of a candidate, as a struct."""
     s = F.rtrim(token, F.lit("="))
     n = F.length(s).cast("double")
-    chars = F.split(s, "", -1)
-    chars = F.filter(chars, lambda x: x != "")
+    chars = F.filter(F.split(s, "", -1), lambda x: x != "")
     first, rest = F.slice(chars, F.lit(1), F.length(s) - 1), F.slice(chars, F.lit(2), F.length(s))
     equal_pairs = F.aggregate(F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)).cast("double")), F.lit(0.0), lambda a, b: a + b * b)
 
@@ -94,29 +110,36 @@ def score(token: Column) -> Column:
         return F.when(x.rlike("[A-Z]"), 1).when(x.rlike("[a-z]"), 2).when(x.rlike("[0-9]"), 3).otherwise(4)
 
     changes = F.size(F.filter(F.zip_with(first, rest, lambda x, y: kind(x) != kind(y)), lambda x: x)).cast("double")
-    out = F.lit(None).cast("struct<passed:boolean,score:double,class:int>")
-    for _, shape, symbols in reversed(ENCODINGS):
+    out = F.lit(None).cast("struct<random:double,score:double,class:int>")
+    for _, shape, symbols, equal, change_in_text in reversed(ENCODINGS):
         k = len(symbols)
         groups = [sum(ch in g for ch in symbols) for g in (UPPER, LOWER, DIGITS)]
         groups.append(k - sum(groups))
         change = 1 - sum(g * g for g in groups) / (k * k)
         value = lambda x, a=symbols: F.instr(F.lit(a), F.lower(x) if len(a) == 16 else F.translate(x, "+/-_", "-_-_") if a.endswith("-_") else F.translate(x, "-_", "+/")).cast("double")
         chi = F.lit(k) * equal_pairs / n - n
-        uniform = (chi - (k - 1)) / math.sqrt(2 * (k - 1))
+        serial = F.aggregate(F.zip_with(first, rest, lambda x, y: (value(x) - (k + 1) / 2) * (value(y) - (k + 1) / 2)), F.lit(0.0), lambda a, b: a + b) / ((k * k - 1) / 12)
+        # deviates from random draws: Wilson and Hilferty's for chi-squared
+        cube = 2 / (9 * (k - 1))
+        uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - cube)) / math.sqrt(cube)
         runs = (changes - change * (n - 1)) / F.sqrt(change * (1 - change) * (n - 1))
-        products = F.aggregate(F.zip_with(first, rest, lambda x, y: (value(x) - (k + 1) / 2) * (value(y) - (k + 1) / 2)), F.lit(0.0), lambda a, b: a + b)
-        serial = products / F.sqrt(n - 1) / ((k * k - 1) / 12)
-        passed = (F.abs(uniform) <= 3.5) & (F.abs(runs) <= 3.3) & (F.abs(serial) <= 3.3)
-        excess = k * TEXT_EQUAL - 1
-        from_uniform = (k - 1 + n * excess - chi) / F.sqrt(2 * (k - 1) + 4 * n * excess) if excess > 0 else F.lit(0.0)
-        from_changes = (changes - TEXT_CHANGE * (n - 1)) / F.sqrt(TEXT_CHANGE * (1 - TEXT_CHANGE) * (n - 1))
-        far = (from_uniform + from_changes) / math.sqrt(2)
-        out = F.when(s.rlike(shape), F.struct(passed.alias("passed"), far.alias("score"), F.floor(F.log2(n)).cast("int").alias("class"))).otherwise(out)
+        half = -(F.log(two_sided(uniform)) + F.log(two_sided(runs)) + F.log(two_sided(serial / F.sqrt(n - 1))))
+        random = F.exp(-half) * (1 + half + half * half / 2)
+        # deviates from text
+        excess = k * equal - 1
+        even = (k - 1 + n * excess - chi) / F.sqrt(2 * (k - 1) + 4 * n * excess)
+        mixed = (changes - change_in_text * (n - 1)) / F.sqrt(change_in_text * (1 - change_in_text) * (n - 1))
+        apart = (TEXT_SERIAL * (n - 1) - serial) / F.sqrt(n - 1)
+        far = (even + mixed + apart) / math.sqrt(3)
+        out = F.when(s.rlike(shape), F.struct(random.alias("random"), far.alias("score"), F.floor(F.log2(n)).cast("int").alias("class"))).otherwise(out)
     return out
 
 
 def false_discovery_limits(candidates: DataFrame, share: float) -> dict[int, float]:
-    """Least score by length class, by Benjamini-Hochberg over (class, score) rows; a class without finds is left out."""
+    """Least score by length class, by Benjamini-Hochberg over (class, score) rows; a class without finds is left out.
+
+    A score below the lowest step (not random) has the p-value 1.
+    """
     step = F.least(F.greatest(F.floor((F.col("score") - LOWEST) / STEP), F.lit(-1)), F.lit(STEPS)).cast("int")
     rows = candidates.groupBy("class", step.alias("step")).count().collect()  # at most 64 x 514 rows
     limits: dict[int, float] = {}
@@ -149,11 +172,11 @@ def scan(docs: DataFrame, text: str = "text", keep_text: bool = True, share: flo
         F.filter(r, lambda x: ~F.exists(base, lambda y: (y["start"] < x["stop"]) & (y["stop"] > x["start"]))),
     )
     scored = F.transform(apart, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), score(x["found"]).alias("test")))
-    df = cut(df.select(*keep, *([t] if keep_text else []), base, F.filter(scored, lambda x: x["test"]["passed"].isNotNull()).alias(cand)), "scanned")
-    tests = df.select(F.explode(cand).alias("x")).select(F.col("x.test.class").alias("class"), F.col("x.test.score").alias("score"))
+    df = cut(df.select(*keep, *([t] if keep_text else []), base, F.filter(scored, lambda x: x["test"]["random"].isNotNull()).alias(cand)), "scanned")
+    tests = df.select(F.explode(cand).alias("x")).select(F.col("x.test.class").alias("class"), F.when(F.col("x.test.random") >= RANDOM_LEAST, F.col("x.test.score")).otherwise(LOWEST - 1).alias("score"))
     limits = false_discovery_limits(tests, share)
     enough = lambda x: F.coalesce(sum((F.when(x["test"]["class"] == c, F.lit(v)).otherwise(F.lit(0.0)) for c, v in limits.items()), F.lit(0.0)) <= x["test"]["score"], F.lit(False)) & x["test"]["class"].isin(list(limits))
-    finds = F.filter(cand, lambda x: x["test"]["passed"] & enough(x)) if limits else F.slice(cand, 1, 0)
+    finds = F.filter(cand, lambda x: (x["test"]["random"] >= RANDOM_LEAST) & enough(x)) if limits else F.slice(cand, 1, 0)
     out = df.withColumn("spans", F.sort_array(F.concat(F.col(base), named(finds, 4, "random")))).withColumnRenamed(base, "base")
     return out.select(*keep, *([F.col(t).alias(text)] if keep_text else []), "base", "spans")
 
