@@ -41,8 +41,8 @@ def human_size(size: Column) -> Column:
 
 
 def name_error(name: Column, allow_at: bool = False) -> Column:
-    """Why a reference or user name isn't valid, or null: length (1 to 1024 bytes), at or control."""
-    out = F.when(name.isNull() | (F.octet_length(name) < 1) | (F.octet_length(name) > 1024), "length")
+    """Why a reference or user name isn't valid, or null: length (1 to 1024 bytes), encoding (not UTF-8), at or control."""
+    out = F.when(name.isNull() | (F.octet_length(name) < 1) | (F.octet_length(name) > 1024), "length").when(~F.is_valid_utf8(name), "encoding")
     if not allow_at:
         out = out.when(F.contains(name, F.lit("@")), "at")
     return out.when(name.rlike(r"[\x00-\x1F\x7F-\x{9F}]"), "control")
@@ -95,3 +95,83 @@ def rfc3339_ns(time_ns: Column) -> Column:
     digits = F.rtrim(F.lpad(rest.cast("string"), 9, "0"), F.lit("0"))
     base = F.date_format(F.timestamp_seconds(F.floor(time_ns / 1_000_000_000)), "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(base, F.when(rest == 0, "").otherwise(F.concat(F.lit("."), digits)), F.lit("Z"))
+
+
+def segment_number(file_name: Column) -> Column:
+    """Number in a segment's file name, 16 lowercase hex digits and a suffix, or null."""
+    digits = F.regexp_extract(file_name, r"^([0-9a-f]{16})\.seg$", 1)
+    return F.when(digits != "", F.conv(digits, 16, 10).cast("decimal(20,0)"))
+
+
+def fingerprint(public_key: Column) -> Column:
+    """Of a base64 public key, as SSH tools show it: SHA-256 in base64 without padding."""
+    return F.concat(F.lit("SHA256:"), F.rtrim(F.base64(F.unhex(F.sha2(F.unbase64(public_key), 256))), F.lit("=")))
+
+
+def shell_quoted(text: Column) -> Column:
+    """In single quotes, where a shell would not take the text as it is."""
+    plain = text.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$")
+    return F.when(plain, text).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+
+
+def base_name(path: Column) -> Column:
+    """The last component, without trailing slashes; the root for nothing else."""
+    parts = F.filter(F.split(path, "/", -1), lambda x: x != "")
+    return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(F.when(path == "", ".").otherwise("/"))
+
+
+def promoted_size(size: Column) -> Column:
+    """As ``human_size``, but 1023.95 and more of a unit is shown as 1.0 of the next."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for i, unit in enumerate(UNITS):
+        least = 1024 ** (i + 1) if i == 0 else 1023.95 * 1024**i
+        out = F.when(size >= least, F.concat(F.round(size / 1024 ** (i + 1), 1).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+#: Media types by extension. Fixed values.
+MEDIA = (
+    ("html", "text/html; charset=utf-8"), ("htm", "text/html; charset=utf-8"), ("css", "text/css; charset=utf-8"), ("js", "text/javascript; charset=utf-8"), ("json", "application/json"), ("xml", "text/xml; charset=utf-8"),
+    ("txt", "text/plain; charset=utf-8"), ("png", "image/png"), ("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("gif", "image/gif"), ("svg", "image/svg+xml"), ("webp", "image/webp"), ("pdf", "application/pdf"), ("wasm", "application/wasm"),
+)
+#: Media types by first bytes (hex). Fixed values.
+SIGNATURES = (("89504e470d0a1a0a", "image/png"), ("ffd8ff", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462d", "application/pdf"), ("504b0304", "application/zip"), ("1f8b08", "application/x-gzip"))
+
+
+def media_type(name: Column, payload: Column) -> Column:
+    """By extension, else by the first 512 bytes: known signatures, then text or not."""
+    head = F.substring(payload, 1, 512)
+    out = F.when(F.lower(F.trim(F.substring(payload, 1, 64).cast("string"))).rlike("^(?:<!doctype html|<html)"), "text/html; charset=utf-8").when(is_textual(head, 512), "text/plain; charset=utf-8").otherwise("application/octet-stream")
+    for first, kind in SIGNATURES:
+        out = F.when(F.startswith(F.lower(F.hex(head)), F.lit(first)), kind).otherwise(out)
+    extension = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    for ext, kind in MEDIA:
+        out = F.when(extension == ext, kind).otherwise(out)
+    return out
+
+
+def view_mode(payload: Column) -> Column:
+    """How a payload is shown: text, json or hex."""
+    text = payload.cast("string")
+    return F.when(~is_textual(payload), "hex").when(text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull(), "json").otherwise("text")
+
+
+def trailer_parts(body: Column) -> tuple[Column, Column]:
+    """(what is signed, signature in base64) of a body that ends in a signature and its length, a big-endian 32-bit number;
+    nulls where the length leads outside the body."""
+    n = F.octet_length(body)
+    size = F.conv(F.hex(F.substring(body, n - 3, F.lit(4))), 16, 10).cast("long")
+    good = (n >= 4) & (size <= n - 4)
+    return F.when(good, F.substring(body, F.lit(1), (n - 4 - size).cast("int"))), F.when(good, F.substring(body, (n - 3 - size).cast("int"), size.cast("int")).cast("string"))
+
+
+def attributes_size(attributes: Column) -> Column:
+    """Bytes of a map of short byte strings in deterministic CBOR: a head for the map, and for each name and value."""
+
+    def head(n: Column) -> Column:
+        return F.when(n < 24, 1).when(n < 256, 2).when(n < 65536, 3).otherwise(5)
+
+    def item(x: Column) -> Column:
+        return head(F.octet_length(x)) + F.octet_length(x)
+
+    return head(F.size(attributes)) + F.aggregate(F.map_entries(attributes), F.lit(0), lambda a, e: a + item(e["key"]) + item(e["value"]))

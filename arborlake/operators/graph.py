@@ -2,7 +2,7 @@
 
 Each round joins the frontier with the edges, keeps what hasn't been seen, and
 writes it, so plans stay short and a lost executor costs a reread.  Only ids
-travel, no payloads.  Rounds are as many as the graph is deep.
+travel, no payloads.  Rounds are as many as the graph is deep, without a limit.
 """
 
 from __future__ import annotations
@@ -15,33 +15,62 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 
-def closure(roots: DataFrame, edges: DataFrame, labels: tuple[str, ...] = (), expand: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def closure(roots: DataFrame, edges: DataFrame, labels: tuple[str, ...] = (), expand: DataFrame | None = None, leaf: str | None = None) -> DataFrame:
     """Rows ``labels..., node`` reachable from ``roots`` (same columns), roots included, each once.
 
     edges: ``parent, child``.  expand: if given, only nodes in it (column
-    ``node``) are descended from; the others are reached all the same.
+    ``node``) are descended from; the others are reached all the same.  leaf: a
+    condition on ``node`` for nodes known to have no children, which never meet
+    the edges.  What was seen is one table, rewritten when the new rounds outgrow
+    it, so that a round reads no more than twice what it must.
     """
     on = [*labels, "node"]
     # every round joins them: computed once
-    edges = written(edges.select("parent", "child"), "edges")
-    expand = None if expand is None else written(expand.select("node"), "expand")
+    edges = written(edges.select(F.col("parent").alias("node"), "child"), "edges")
+    expand = None if expand is None else written(expand.select("node").distinct(), "expand")
     frontier = written(roots.select(*on).distinct(), "frontier")
-    seen = [frontier]
-    for _ in range(max_rounds):
-        source = frontier if expand is None else frontier.join(expand, "node", "left_semi")
-        step = source.join(edges.select(F.col("parent").alias("node"), "child"), "node").select(*labels, F.col("child").alias("node")).distinct()
-        frontier = written(step.join(reduce(DataFrame.unionByName, seen), on, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        seen.append(frontier)
-    else:
-        raise RuntimeError(f"the graph is deeper than {max_rounds}")
-    return reduce(DataFrame.unionByName, seen)
-
-
-def missing(roots: DataFrame, edges: DataFrame, present: DataFrame, labels: tuple[str, ...] = ()) -> DataFrame:
+    seen, size, rounds, fresh = frontier, frontier.count(), [], 0
+    while True:
+        source = frontier if leaf is None else frontier.where(f"NOT ({leaf})")
+        source = source if expand is None else source.join(expand, "node", "left_semi")
+        step = source.join(edges, "node").select(*labels, F.col("child").alias("node")).distinct()
+        frontier = written(step.join(reduce(DataFrame.unionByName, rounds, seen), on, "left_anti"), "frontier")
+        n = frontier.count()
+        if not n:
+            return reduce(DataFrame.unionByName, rounds, seen)
+        rounds, fresh = [*rounds, frontier], fresh + n
+        if fresh > size or len(rounds) == 16:
+            seen, size, rounds, fresh = written(reduce(DataFrame.unionByName, rounds, seen), "seen"), size + fresh, [], 0
+
+
+def missing(roots: DataFrame, edges: DataFrame, present: DataFrame, labels: tuple[str, ...] = (), leaf: str | None = None) -> DataFrame:
     """Reachable nodes that aren't in ``present`` (column ``node``); absent nodes aren't descended from."""
-    return closure(roots, edges, labels, expand=present).join(present.select("node"), "node", "left_anti")
+    present = written(present.select("node"), "present")
+    return closure(roots, edges, labels, expand=present, leaf=leaf).join(present, "node", "left_anti")
+
+
+def pull(roots: DataFrame, edges: DataFrame, present: DataFrame, leaf: str | None = None) -> DataFrame:
+    """Rows ``node, round``: what a pull fetches, and when.  Fetch what is missing, look below it, until nothing is.
+
+    ``edges`` are those of the remote side: of an absent node they are known once it has come.
+    """
+    have, out, k = written(present.select("node"), "present"), [], 0
+    edges = written(edges.select("parent", "child"), "edges")
+    frontier = written(roots.select("node").distinct(), "frontier")
+    while True:
+        lacking = written(missing(frontier, edges, have, leaf=leaf), "lacking")
+        if lacking.isEmpty():
+            return reduce(DataFrame.unionByName, out) if out else lacking.select("node", F.lit(0).alias("round"))
+        k += 1
+        out.append(lacking.select("node", F.lit(k).alias("round")))
+        # the walk goes on from what has come; all above it has been walked
+        have, frontier = have.unionByName(lacking), lacking
+
+
+def gate(refs: DataFrame, edges: DataFrame, present: DataFrame, leaf: str | None = None) -> DataFrame:
+    """``refs`` (name, node) plus ``n_missing`` and ``complete``: a reference is taken only if all below it is there."""
+    lacking = missing(refs.select("name", "node"), edges, present, ("name",), leaf).groupBy("name").agg(F.count(F.lit(1)).alias("n_missing"))
+    return refs.join(lacking, "name", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0))).withColumn("complete", F.col("n_missing") == 0)
 
 
 def why(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:

@@ -74,3 +74,58 @@ def allow_list(lines: DataFrame, text: str = "value", position: str = "pos") ->
     caps = F.when(F.forall(caps, lambda c: c.isin(*CAPABILITIES)) & (key != ""), caps)
     w = Window.partitionBy("key").orderBy(F.desc(position))
     return known.select(F.regexp_replace(key, r"\s+", " ").alias("key"), caps.alias("caps"), position).withColumn("nth", F.row_number().over(w)).where("nth = 1").select("key", "caps")
+
+
+def issue_error(caps: Column, issued: Column, expires: Column) -> Column:
+    """Why a grant can't be issued, or null: caps (none, or one that may not be handed on) or times."""
+    good = (F.size(caps) > 0) & F.forall(caps, lambda c: c.isin(*DELEGABLE))
+    return F.when(~F.coalesce(good, F.lit(False)), "caps").when(issued > expires, "times")
+
+
+def issued_caps(caps: Column) -> Column:
+    """Capabilities of a grant as it is written: each once, in order."""
+    return F.array_join(F.array_sort(F.array_distinct(caps)), ",")
+
+
+def authorise(requests: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``requests`` (key, cap, issuer, granted) plus ``outcome``: own (the key has the capability), grant (its issuer may
+    hand it on and did) or denied.  allowed: ``key, caps``.  Both joins are on keys; a list small enough is broadcast by Spark."""
+    mine = allowed.select("key", F.col("caps").alias("own_caps"))
+    theirs = allowed.select(F.col("key").alias("issuer"), F.col("caps").alias("issuer_caps"))
+    both = requests.join(mine, "key", "left").join(theirs, "issuer", "left")
+    own = F.coalesce(allows(F.col("own_caps"), F.col("cap")), F.lit(False))
+    handed = F.coalesce(allows(F.col("issuer_caps"), "delegate") & F.array_contains("granted", F.col("cap")) & F.col("cap").isin(*DELEGABLE), F.lit(False))
+    return both.withColumn("outcome", F.when(own, "own").when(handed, "grant").otherwise("denied")).drop("own_caps", "issuer_caps")
+
+
+#: Longest signature and public key of a reference, in bytes. Fixed values.
+SIGNATURE_BYTES, PUBLIC_KEY_BYTES = 64 << 10, 16 << 10
+
+
+def record_error(signature_size: Column, key_size: Column) -> Column:
+    """Why a reference's record isn't valid, or null: unsigned records have neither, signed ones both."""
+    return (
+        F.when(signature_size.isNull() != key_size.isNull(), "half_signed")
+        .when(signature_size > SIGNATURE_BYTES, "signature")
+        .when(key_size > PUBLIC_KEY_BYTES, "public_key")
+    )
+
+
+def spec_parts(spec: Column) -> tuple[Column, Column, Column]:
+    """(kind, target, path) of ``ref:NAME[@PATH]`` or ``KEY[/PATH]``: kind is ref, key or bad."""
+    is_ref = F.startswith(spec, F.lit("ref:"))
+    name, inner = F.regexp_extract(spec, r"(?s)^ref:([^@]*)", 1), F.regexp_extract(spec, r"(?s)^ref:[^@]*@(.*)$", 1)
+    key = F.regexp_extract(spec, r"^([0-9a-f]{64})(?:/|$)", 1)
+    kind = F.when(is_ref & (name != ""), "ref").when(~is_ref & (key != ""), "key").otherwise("bad")
+    return kind, F.when(kind == "ref", name).when(kind == "key", key), F.when(kind == "ref", inner).when(kind == "key", F.substring(spec, 66, 1 << 30))
+
+
+def resolve_remote(wanted: DataFrame, remotes: DataFrame) -> DataFrame:
+    """``wanted`` (owner, name) plus ``url`` and ``outcome``: the remote of that name, or the owner's only one if the name is
+    null; else missing or ambiguous.  remotes: ``owner, name, url``."""
+    named = remotes.select("owner", "name", F.col("url").alias("named_url"))
+    only = remotes.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("only_url"))
+    both = wanted.join(named, ["owner", "name"], "left").join(only, "owner", "left")
+    url = F.when(F.col("name").isNotNull(), F.col("named_url")).when(F.col("n") == 1, F.col("only_url"))
+    outcome = F.when(url.isNotNull(), "ok").when(F.col("name").isNull() & (F.col("n") > 1), "ambiguous").otherwise("missing")
+    return both.withColumn("url", url).withColumn("outcome", outcome).drop("named_url", "n", "only_url")

@@ -15,11 +15,20 @@ def first_occurrences(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def newest_copies(records: DataFrame, key: str = "key", segment: str = "segment_id") -> DataFrame:
-    """The copy that a read takes: that of the newest segment."""
+    """The copy that a read takes: that of the newest segment, by number."""
+    if records.schema[segment].dataType.typeName() == "string":
+        raise TypeError("segment ids are numbers: text sorts 9 after 10")
     w = Window.partitionBy(key).orderBy(F.desc(segment))
     return records.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
 
 
+def number_segments(records: DataFrame, writer: str, number: str, out: str) -> DataFrame:
+    """``records`` plus a LONG segment id over the whole store: the segments of earlier writers count before."""
+    each = records.groupBy(writer).agg((F.max(number) + 1).alias("n"))  # a row for each writer
+    before = each.select(writer, (F.sum("n").over(Window.orderBy(writer)) - F.col("n")).alias("before"))
+    return records.join(before, writer).withColumn(out, (F.col("before") + F.col(number)).cast("long")).drop("before")
+
+
 def missing_keys(wanted: DataFrame, have: DataFrame, key: str = "key") -> DataFrame:
     """Rows of ``wanted`` whose key isn't in ``have``, repeated ones too."""
     return wanted.join(have.select(key).distinct(), key, "left_anti")
@@ -82,3 +91,26 @@ def compact(records: DataFrame, live: DataFrame, grey: DataFrame | None, ratio:
     moved = copy_set(records, chosen, kept).select("key", "slen", F.lit(new_segment).cast("long").alias("segment_id"))
     stays = records.join(chosen.select("segment_id"), "segment_id", "left_anti")
     return stays.select("key", "slen", "segment_id").unionByName(moved), chosen
+
+
+def located(wanted: DataFrame, index: DataFrame, key: str = "key") -> DataFrame:
+    """``wanted`` plus ``segment_id, off, slen`` of the newest copy of its key, and ``found``."""
+    return wanted.join(newest_copies(index, key), key, "left").withColumn("found", F.col("segment_id").isNotNull())
+
+
+def eligible(segments: DataFrame, horizon: int | None) -> DataFrame:
+    """``segments`` (sealed, sealed_at) plus ``eligible``: sealed, and not after the horizon."""
+    return segments.withColumn("eligible", F.coalesce(F.col("sealed") & (F.col("sealed_at") <= F.lit(horizon)), F.lit(False)))
+
+
+def valid_prefix(records: DataFrame, good: str = "good") -> DataFrame:
+    """Records before the first of their segment (by ``off``) that isn't good; what follows it is never looked at again."""
+    bad = records.where(~F.col(good)).groupBy("segment_id").agg(F.min("off").alias("bad_at"))
+    return records.join(bad, "segment_id", "left").where(F.col("bad_at").isNull() | (F.col("off") < F.col("bad_at"))).drop("bad_at")
+
+
+def scrub(records: DataFrame, index: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per segment: records, index entries that point elsewhere or nowhere, and whether the records end where it does."""
+    both = records.select("segment_id", "key", "off", "slen").join(index.select("segment_id", "key", "at"), ["segment_id", "key"], "left")
+    sums = both.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("at").isNull() | (F.col("at") != F.col("off"))).alias("misplaced"), F.max(F.col("off") + record_size(F.col("slen"))).alias("end"))
+    return sums.join(segments, "segment_id").select("segment_id", "n_records", "misplaced", (F.col("end") == F.col("body")).alias("ends_well"))

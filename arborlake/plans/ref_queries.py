@@ -44,11 +44,13 @@ def ref_overwrite_outcome(s, d):
     return refs.overwrite_outcomes(writes, "name", ["ts", "event_id"], "signer", "created", "record", "admin").select("event_id", "outcome")
 
 
-@query(r"""WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '.', '@') WHEN 2 THEN repeat(url, 40) ELSE url || chr(9) END AS name FROM pages)
-SELECT page_id, CASE WHEN strlen(name) < 1 OR strlen(name) > 1024 THEN 'length' WHEN contains(name, '@') THEN 'at' WHEN regexp_matches(name, '[\x00-\x1F\x7F]') THEN 'control' END AS error FROM n""")
+@query(r"""WITH n AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN encode(url) WHEN 1 THEN encode(replace(url, '.', '@')) WHEN 2 THEN encode(repeat(url, 40)) WHEN 3 THEN encode(url || chr(9)) ELSE encode(url) || '\xFF'::BLOB END AS name FROM pages),
+t AS (SELECT page_id, name, TRY(decode(name)) AS text FROM n)
+SELECT page_id, CASE WHEN octet_length(name) < 1 OR octet_length(name) > 1024 THEN 'length' WHEN text IS NULL THEN 'encoding' WHEN contains(text, '@') THEN 'at' WHEN regexp_matches(text, '[\x00-\x1F\x7F]') THEN 'control' END AS error FROM t""".replace("\\\\", "\\"))
 def ref_name_validation(s, d):
-    i, u = F.col("page_id") % 4, F.col("url")
-    name = F.when(i == 0, u).when(i == 1, F.replace(u, F.lit("."), F.lit("@"))).when(i == 2, F.repeat(u, 40)).otherwise(F.concat(u, F.lit("\t")))
+    """Names with too many bytes, bytes that are no text, ``@`` or control characters."""
+    i, u = F.col("page_id") % 5, F.col("url")
+    name = F.when(i == 0, u).when(i == 1, F.replace(u, F.lit("."), F.lit("@"))).when(i == 2, F.repeat(u, 40)).when(i == 3, F.concat(u, F.lit("\t"))).otherwise(F.concat(F.encode(u, "UTF-8"), F.unhex(F.lit("ff"))).cast("string"))
     return table(s, d, "pages").select("page_id", S.name_error(name).alias("error"))
 
 

@@ -7,12 +7,12 @@ objects fill segments in order, and also a reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import text_key
+from ..functions.keys import SEGMENT_HEADER, text_key
 from ..operators.folds import SegmentFold, fold
-from ..operators.store import first_occurrences
+from ..operators.store import first_occurrences, number_segments, record_size
 from ..sources.tables import table
 
 SEGMENT_BYTES = 65536
@@ -36,12 +36,27 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """Per writer and segment: key, slen, segment_id ("source/number"), doc_id.  A source writes all its files, so a text
-    that two sources have is stored twice."""
+    """key, slen, segment_id (LONG, numbered over the store in the order of writers), source, doc_id.  A source writes all
+    its files, so a text that two sources have is stored twice."""
     own = documents(spark, d).select("source", "key", "size", "doc_id")
     own = own.groupBy("source", "key", "size").agg(F.min("doc_id").alias("doc_id"))
     cutting = fold(own, SegmentFold(SEGMENT_BYTES), ["source"], ["doc_id"], ["size"], "n")
-    return cutting.select("key", F.col("size").alias("slen"), F.concat_ws("/", "source", "n").alias("segment_id"), "source", "doc_id")
+    numbered = number_segments(cutting, "source", "n", "segment_id")
+    return numbered.select("key", F.col("size").alias("slen"), "segment_id", "source", "doc_id")
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    """``records`` plus ``off``, the byte in its segment where each begins."""
+    w = Window.partitionBy("segment_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return records(spark, d).withColumn("off", F.coalesce(F.sum(record_size(F.col("slen"))).over(w), F.lit(0)) + SEGMENT_HEADER)
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """segment_id, source, n_keys, body, sealed, sealed_at: a writer's last segment is still open; a segment is sealed with
+    its last record, a record is written in the second of its doc_id."""
+    own = records(spark, d).groupBy("segment_id", "source").agg(F.count(F.lit(1)).alias("n_keys"), (F.sum(record_size(F.col("slen"))) + SEGMENT_HEADER).alias("body"), F.max("doc_id").alias("last"))
+    sealed = F.col("segment_id") < F.max("segment_id").over(Window.partitionBy("source"))
+    return own.select("segment_id", "source", "n_keys", "body", sealed.alias("sealed"), F.when(sealed, F.col("last")).alias("sealed_at"))
 
 
 def live_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +120,7 @@ RECORDS = f"""{DOCS}, own AS (
     CASE WHEN a.fill >= {SEGMENT_BYTES} THEN 8 ELSE a.fill END + 46 + b.size
   FROM cutting a JOIN numbered b ON b.source = a.source AND b.rn = a.rn + 1
 ), records AS (
-  SELECT key, size AS slen, source || '/' || n AS segment_id, source, doc_id FROM cutting
+  SELECT key, size AS slen, dense_rank() OVER (ORDER BY source, n) - 1 AS segment_id, source, doc_id FROM cutting
 ), live AS (
   SELECT DISTINCT key FROM docs WHERE lang IN ('en', 'de')
 )"""
@@ -119,3 +134,8 @@ GRAPH = f"""{DOCS}, edges AS (
   SELECT node FROM (SELECT parent AS node FROM edges UNION SELECT child FROM edges)
   WHERE node NOT LIKE '%7' OR node LIKE 's|%' OR node LIKE 'd|%'
 )"""
+PLACED = f"""{RECORDS}, placed AS (
+  SELECT *, 8 + CAST(coalesce(sum(46 + slen) OVER (PARTITION BY segment_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM records
+), segments AS (
+  SELECT segment_id, source, count(*) AS n_keys, CAST(sum(46 + slen) + 8 AS BIGINT) AS body, max(doc_id) AS last, segment_id < max(segment_id) OVER (PARTITION BY source) AS sealed FROM records GROUP BY segment_id, source
+)"""

@@ -109,10 +109,13 @@ def segment_liveness(s, d):
     return _scores(s, d)
 
 
-@query(f"{_SCORE} SELECT segment_id, live_bytes + dead_bytes AS body, round(CASE WHEN live_bytes + dead_bytes = 0 THEN 0 ELSE dead_bytes / (live_bytes + dead_bytes) END, 6) AS garbage, live_keys + dead_keys > 10 AS eligible FROM score")
+@query(f"""{_SCORE.replace(R.RECORDS, R.PLACED)} SELECT segment_id, live_bytes + dead_bytes AS body, round(CASE WHEN live_bytes + dead_bytes = 0 THEN 0 ELSE dead_bytes / (live_bytes + dead_bytes) END, 6) AS garbage,
+  coalesce(sealed AND last <= (SELECT max(doc_id) FROM docs) - 300, false) AS eligible FROM score JOIN (SELECT segment_id, sealed, last FROM segments) USING (segment_id)""")
 def pack_status(s, d):
     body = F.col("live_bytes") + F.col("dead_bytes")
-    return _scores(s, d).select("segment_id", body.alias("body"), F.round(F.when(body == 0, 0.0).otherwise(F.col("dead_bytes") / body), 6).alias("garbage"), (F.col("live_keys") + F.col("dead_keys") > 10).alias("eligible"))
+    now = R.documents(s, d).agg(F.max("doc_id") - 300).first()[0]
+    may = store.eligible(R.segments(s, d), now).select("segment_id", "eligible")
+    return _scores(s, d).join(may, "segment_id").select("segment_id", body.alias("body"), F.round(F.when(body == 0, 0.0).otherwise(F.col("dead_bytes") / body), 6).alias("garbage"), "eligible")
 
 
 @query(f"{_SCORE} SELECT segment_id, dead_keys, dead_bytes FROM score WHERE dead_keys > 0 AND dead_bytes >= 0.5 * (live_bytes + dead_bytes)")
@@ -129,11 +132,12 @@ def gc_copy_set(s, d):
     return store.copy_set(r, store.victims(store.liveness(r, live), 0.3), live)
 
 
-@query(f"{_SCORE} SELECT CAST(sum(live_bytes) AS BIGINT) AS live_bytes, CAST(sum(dead_bytes) AS BIGINT) AS dead_bytes, count(*) AS n_segments, (SELECT count(*) FROM live) AS n_marked FROM score")
+@query(f"{_SCORE} SELECT CAST(sum(live_bytes) AS BIGINT) AS live_bytes, CAST(sum(dead_bytes) AS BIGINT) AS dead_bytes, count(*) AS n_segments, (SELECT count(*) FROM live) AS n_marked, (SELECT count(DISTINCT source) FROM docs) AS n_refs FROM score")
 def gc_totals(s, d):
-    scores = _scores(s, d).select("live_bytes", "dead_bytes", F.lit(1).alias("n_segments"), F.lit(0).alias("n_marked"))
-    marked = R.live_keys(s, d).select(F.lit(0).alias("live_bytes"), F.lit(0).alias("dead_bytes"), F.lit(0).alias("n_segments"), F.lit(1).alias("n_marked"))
-    return scores.unionByName(marked).agg(*[F.sum(c).cast("long").alias(c) for c in ("live_bytes", "dead_bytes", "n_segments", "n_marked")])
+    names = ("live_bytes", "dead_bytes", "n_segments", "n_marked", "n_refs")
+    row = lambda df, **x: df.select(*[x.get(c, F.lit(0)).cast("long").alias(c) for c in names])
+    parts = row(_scores(s, d), live_bytes=F.col("live_bytes"), dead_bytes=F.col("dead_bytes"), n_segments=F.lit(1)).unionByName(row(R.live_keys(s, d), n_marked=F.lit(1))).unionByName(row(R.refs(s, d), n_refs=F.lit(1)))
+    return parts.agg(*[F.sum(c).alias(c) for c in names])
 
 
 @query(f"WITH {R.DOCS} SELECT key FROM docs WHERE lang IN ('en', 'de') UNION SELECT key FROM docs WHERE doc_id % 10 = 3")
@@ -163,20 +167,64 @@ def index_order(s, d):
     return R.objects(s, d).select("key", F.substring("key", 63, 2).alias("bucket"), F.row_number().over(Window.partitionBy(F.substring("key", 63, 2)).orderBy("key")).cast("long").alias("place"))
 
 
-@query(f"""WITH RECURSIVE {R.RECORDS}, placed AS (
-  SELECT segment_id, key, 8 + CAST(coalesce(sum(46 + slen) OVER (PARTITION BY segment_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off, slen FROM records
-) SELECT * FROM placed""")
+@query(f"WITH RECURSIVE {R.PLACED} SELECT segment_id, key, off, slen FROM placed")
 def record_offsets(s, d):
-    w = Window.partitionBy("segment_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return R.records(s, d).select("segment_id", "key", (F.coalesce(F.sum(store.record_size(F.col("slen"))).over(w), F.lit(0)) + K.SEGMENT_HEADER).alias("off"), "slen")
+    return R.placed(s, d).select("segment_id", "key", "off", "slen")
 
 
-@query(f"""WITH RECURSIVE {R.RECORDS}, best AS (SELECT key, max(segment_id) AS segment_id FROM records GROUP BY key)
-SELECT docs.doc_id, docs.key, best.segment_id, CASE WHEN best.key IS NULL THEN 1 ELSE 0 END AS absent FROM docs LEFT JOIN (SELECT * FROM best WHERE key IN (SELECT key FROM live)) best USING (key)""")
+_BEST = f"WITH RECURSIVE {R.PLACED}, best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment_id DESC) = 1)"
+
+
+@query(f"""{_BEST}, found AS (SELECT docs.doc_id, docs.key, best.segment_id, best.off FROM docs LEFT JOIN (SELECT * FROM best WHERE key IN (SELECT key FROM live)) best USING (key))
+SELECT doc_id, key, segment_id, CASE WHEN segment_id IS NULL THEN 1 ELSE 0 END AS absent, rank() OVER (PARTITION BY segment_id ORDER BY off) AS place FROM found""")
 def location_order(s, d):
-    best = store.newest_copies(R.records(s, d)).select("key", "segment_id").join(R.live_keys(s, d), "key", "left_semi")
+    """Where to read what: present keys by segment and offset, the place within the segment with ties for repeated keys."""
+    best = store.newest_copies(R.placed(s, d)).select("key", "segment_id", "off").join(R.live_keys(s, d), "key", "left_semi")
     out = R.documents(s, d).select("doc_id", "key").join(best, "key", "left")
-    return out.select("doc_id", "key", "segment_id", F.when(F.col("segment_id").isNull(), 1).otherwise(0).alias("absent")).orderBy("absent", "segment_id", "doc_id")
+    place = F.rank().over(Window.partitionBy("segment_id").orderBy("off")).cast("long")
+    return out.select("doc_id", "key", "segment_id", F.when(F.col("segment_id").isNull(), 1).otherwise(0).alias("absent"), place.alias("place")).orderBy("absent", "segment_id", "place")
+
+
+@query(f"{_BEST}, wanted AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN substr(key, 1, 60) || 'ffff' ELSE key END AS key FROM docs) SELECT doc_id, wanted.key, segment_id, off, slen, segment_id IS NOT NULL AS found FROM wanted LEFT JOIN (SELECT key, segment_id, off, slen FROM best) USING (key)")
+def get_object(s, d):
+    """Where each wanted key is read: the newest copy's segment, offset and stored length; one key in five is of nothing stored."""
+    wanted = R.documents(s, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring("key", 1, 60), F.lit("ffff"))).otherwise(F.col("key")).alias("key"))
+    return store.located(wanted, R.placed(s, d).select("key", "segment_id", "off", "slen"))
+
+
+@query(f"{_BEST} SELECT key, slen FROM best")
+def stored_size(s, d):
+    return store.newest_copies(R.placed(s, d)).select("key", "slen")
+
+
+@query(f"WITH RECURSIVE {R.PLACED} SELECT segment_id, row_number() OVER (PARTITION BY segment_id ORDER BY off) AS nth, key, off, slen FROM placed")
+def segment_scan(s, d):
+    """A segment's records in order, without their payload."""
+    nth = F.row_number().over(Window.partitionBy("segment_id").orderBy("off")).cast("long")
+    return R.placed(s, d).select("segment_id", nth.alias("nth"), "key", "off", "slen")
+
+
+@query(f"WITH RECURSIVE {R.PLACED} SELECT segment_id, sealed, CASE WHEN sealed THEN last END AS sealed_at, coalesce(sealed AND last <= (SELECT max(doc_id) FROM docs) - 300, false) AS eligible FROM segments")
+def segment_horizon(s, d):
+    """Segments that a cycle may rewrite: sealed, and before the horizon, the grace time before now."""
+    now = R.documents(s, d).agg(F.max("doc_id") - 300).first()[0]
+    return store.eligible(R.segments(s, d), now).select("segment_id", "sealed", "sealed_at", "eligible")
+
+
+@query(f"WITH RECURSIVE {R.PLACED}, bad AS (SELECT segment_id, min(off) AS off FROM placed WHERE doc_id % 37 = 11 GROUP BY segment_id) SELECT segment_id, count(*) AS kept, CAST(max(placed.off + 46 + slen) AS BIGINT) AS valid_end FROM placed LEFT JOIN bad USING (segment_id) WHERE bad.off IS NULL OR placed.off < bad.off GROUP BY segment_id")
+def recover_tail(s, d):
+    """What an opened segment keeps: its records before the first that is damaged."""
+    p = R.placed(s, d).withColumn("good", F.col("doc_id") % 37 != 11)
+    return store.valid_prefix(p).groupBy("segment_id").agg(F.count(F.lit(1)).alias("kept"), F.max(F.col("off") + store.record_size(F.col("slen"))).alias("valid_end"))
+
+
+@query(f"""WITH RECURSIVE {R.PLACED}, p AS (SELECT *, CASE WHEN doc_id % 41 = 7 THEN off + 1 ELSE off END AS told FROM placed)
+SELECT segment_id, count(*) AS n_records, count(*) FILTER (told <> off) AS misplaced, CAST(max(off + 46 + slen) AS BIGINT) = any_value(body) AS ends_well FROM p JOIN segments USING (segment_id) GROUP BY segment_id""")
+def scrub_segments(s, d):
+    """Index against records: entries whose offset is not where the records before end, and whether the last ends with the segment."""
+    p = R.placed(s, d)
+    index = p.select("segment_id", "key", F.when(F.col("doc_id") % 41 == 7, F.col("off") + 1).otherwise(F.col("off")).alias("at"))
+    return store.scrub(p, index, R.segments(s, d).select("segment_id", "body"))
 
 
 @query("""WITH RECURSIVE item AS (

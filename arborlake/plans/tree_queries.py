@@ -59,8 +59,7 @@ def item_runs(s, d):
 
 @query(f"{_LEVEL0} SELECT directory, run, n_children, first_name, sep_name, node FROM leaf")
 def prolly_level0(s, d):
-    cutting = tree.runs(_entries(s, d), BITS, ["directory"], ["name"])
-    return cutting.groupBy("directory", "run").agg(F.count(F.lit(1)).alias("n_children"), F.min("name").alias("first_name"), F.max("name").alias("sep_name"), tree.ordered_digest("name", "digest").alias("node"))
+    return tree.leaf_runs(_entries(s, d), BITS)
 
 
 @query(f"""{_LEVEL0}, up AS (SELECT directory, sep_name AS name, node AS digest FROM leaf WHERE directory IN (SELECT directory FROM leaf GROUP BY 1 HAVING count(*) > 1)),
@@ -91,8 +90,7 @@ def prolly_tree(s, d):
 
 @query(f"{_LEVEL0} SELECT directory, sep_name FROM leaf")
 def sep_names(s, d):
-    levels = tree.directory_levels(_entries(s, d), BITS)
-    return levels.where("level = 0").select("directory", "sep_name")
+    return tree.leaf_runs(_entries(s, d), BITS).select("directory", "sep_name")
 
 
 @query(f"""{_LEVEL0}, probe AS (SELECT DISTINCT source AS directory, lpad(CAST(doc_id + 7 AS VARCHAR), 12, '0') AS name FROM documents WHERE doc_id % 5 = 0)
@@ -100,7 +98,7 @@ SELECT p.directory, p.name, (SELECT min(sep_name) FROM leaf l WHERE l.directory
   EXISTS (SELECT 1 FROM entries e WHERE e.directory = p.directory AND e.name = p.name) AS found FROM probe p""")
 def lookup_entry(s, d):
     probes = table(s, d, "documents").where("doc_id % 5 = 0").select(F.col("source").alias("directory"), F.lpad((F.col("doc_id") + 7).cast("string"), 12, "0").alias("name"))
-    leaves = tree.directory_levels(_entries(s, d), BITS).where("level = 0")
+    leaves = tree.leaf_runs(_entries(s, d), BITS)
     return tree.lookup(probes, leaves, _entries(s, d))
 
 
@@ -109,7 +107,7 @@ SELECT p.directory, p.name, (SELECT min(sep_name) FROM leaf l WHERE l.directory
   EXISTS (SELECT 1 FROM entries e WHERE e.directory = p.directory AND e.name = p.name) AS found FROM probe p""")
 def lookup_every_entry(s, d):
     probes = table(s, d, "documents").select(F.col("source").alias("directory"), F.lpad((F.col("doc_id") + 7).cast("string"), 12, "0").alias("name"))
-    leaves = tree.directory_levels(_entries(s, d), BITS).where("level = 0")
+    leaves = tree.leaf_runs(_entries(s, d), BITS)
     return tree.lookup(probes, leaves, _entries(s, d))
 
 
@@ -134,7 +132,7 @@ SELECT w.doc_id, c.child AS node FROM wanted w LEFT JOIN fs a ON a.parent = '' A
 LEFT JOIN fs c ON c.parent = b.child AND c.name = CAST(w.doc_id AS VARCHAR)""")
 def path_resolve(s, d):
     docs = table(s, d, "documents").select("doc_id", F.concat_ws("/", F.lit("/."), "source", F.lit(""), F.when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("lang")), F.col("doc_id").cast("string")).alias("path"))
-    return tree.resolve(docs.select("doc_id", S.path_parts(F.col("path")).alias("parts")), _fs(s, d), "", 3).select("doc_id", "node")
+    return tree.resolve(docs.select("doc_id", F.lit("").alias("start"), S.path_parts(F.col("path")).alias("parts")), _fs(s, d).withColumn("is_dir", ~F.startswith("child", F.lit("f|")))).select("doc_id", "node")
 
 
 @query("SELECT o_orderkey AS name, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 40")
@@ -203,38 +201,40 @@ def prefix_bytes(s, d):
     return R.lines(s, d).where("pos = 0").select("doc_id", F.substring("line", 1, 20).alias("head"))
 
 
+#: Lines have nothing below them.
+LEAF = "node LIKE 'l|%'"
 _REACH = """reach AS (SELECT name, node FROM refs UNION SELECT r.name, e.child FROM reach r JOIN edges e ON e.parent = r.node)"""
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, reach AS (SELECT node FROM refs WHERE name = 'src1' UNION SELECT e.child FROM reach r JOIN edges e ON e.parent = r.node) SELECT node FROM reach")
 def reachable_keys(s, d):
-    return graph.closure(R.refs(s, d).where("name = 'src1'"), R.edges(s, d))
+    return graph.closure(R.refs(s, d).where("name = 'src1'"), R.edges(s, d), leaf=LEAF)
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, {_REACH} SELECT name, count(*) AS n_keys FROM reach GROUP BY name")
 def reachable_per_ref(s, d):
-    return graph.closure(R.refs(s, d), R.edges(s, d), ("name",)).groupBy("name").agg(F.count(F.lit(1)).alias("n_keys"))
+    return graph.closure(R.refs(s, d), R.edges(s, d), ("name",), leaf=LEAF).groupBy("name").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, reach AS (SELECT node FROM refs WHERE name LIKE 'src1%' UNION SELECT e.child FROM reach r JOIN edges e ON e.parent = r.node) SELECT node FROM reach")
 def mark_live(s, d):
-    return graph.closure(R.refs(s, d).where("name LIKE 'src1%'"), R.edges(s, d))
+    return graph.closure(R.refs(s, d).where("name LIKE 'src1%'"), R.edges(s, d), leaf=LEAF)
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, reach AS (SELECT node FROM refs UNION SELECT e.child FROM reach r JOIN edges e ON e.parent = r.node) SELECT node FROM reach")
 def mark_every_live(s, d):
-    return graph.closure(R.refs(s, d), R.edges(s, d))
+    return graph.closure(R.refs(s, d), R.edges(s, d), leaf=LEAF)
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, {_REACH} SELECT name, count(*) AS visited, count(*) FILTER (node NOT IN (SELECT node FROM present)) AS absent FROM reach GROUP BY name")
 def completeness(s, d):
-    seen = graph.closure(R.refs(s, d), R.edges(s, d), ("name",)).join(R.present_nodes(s, d).withColumn("there", F.lit(True)), "node", "left")
+    seen = graph.closure(R.refs(s, d), R.edges(s, d), ("name",), leaf=LEAF).join(R.present_nodes(s, d).withColumn("there", F.lit(True)), "node", "left")
     return seen.groupBy("name").agg(F.count(F.lit(1)).alias("visited"), F.count_if(F.col("there").isNull()).alias("absent"))
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, reach AS (SELECT name, node FROM refs UNION SELECT r.name, e.child FROM reach r JOIN present p ON p.node = r.node JOIN edges e ON e.parent = r.node) SELECT name, node FROM reach WHERE node NOT IN (SELECT node FROM present)")
 def missing_frontier(s, d):
-    return graph.missing(R.refs(s, d), R.edges(s, d), R.present_nodes(s, d), ("name",))
+    return graph.missing(R.refs(s, d), R.edges(s, d), R.present_nodes(s, d), ("name",), leaf=LEAF)
 
 
 @query(f"WITH RECURSIVE {R.GRAPH}, wanted AS (SELECT DISTINCT 'f|' || h AS node FROM docs WHERE doc_id % 20 = 3), up AS (SELECT node AS wanted, node FROM wanted UNION SELECT up.wanted, e.parent FROM up JOIN edges e ON e.child = up.node) SELECT up.wanted, refs.name FROM up JOIN refs USING (node)")

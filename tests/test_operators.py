@@ -93,6 +93,66 @@ def test_graph(spark):
     assert graph.closure(roots.where("false"), e).count() == 0
 
 
+def test_deep_graphs_and_leaves(spark):
+    """A chain deeper than any fixed bound of rounds that is kept in pieces, and leaves that never meet the edges."""
+    n = 40
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(n)] + [("leaf", "n00"), ("n40", "leaf")], "parent string, child string")
+    roots = spark.createDataFrame([("n00",)], "node string")
+    assert sorted(r.node for r in graph.closure(roots, e, leaf="node = 'leaf'").collect()) == ["leaf"] + [f"n{i:02d}" for i in range(n + 1)]
+    assert len(graph.closure(roots, e).collect()) == n + 2  # a cycle ends
+
+
+def test_pull_and_gate(spark):
+    e = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("q", "d")], "parent string, child string")
+    have = spark.createDataFrame([("r",), ("b",), ("d",), ("q",)], "node string")
+    roots = spark.createDataFrame([("one", "r"), ("two", "q")], "name string, node string")
+    assert sorted(map(tuple, graph.pull(roots, e, have).collect())) == [("a", 1), ("c", 1)]
+    assert sorted(map(tuple, graph.pull(roots, e, have.where("node <> 'b'")).collect())) == [("a", 1), ("b", 1), ("c", 2)]
+    assert graph.pull(roots.where("name = 'two'"), e, have).count() == 0
+    assert sorted(map(tuple, graph.gate(roots, e, have).select("name", "n_missing", "complete").collect())) == [("one", 2, False), ("two", 0, True)]
+
+
+def test_resolve(spark):
+    entries = spark.createDataFrame([("", "a", "/a", True), ("/a", "b", "/a/b", True), ("/a/b", "f", "file", False), ("/a", "é", "x", False)], "parent string, name string, child string, is_dir boolean")
+    paths = ["a/b/f", "/a//b/./f/", "", "/", "a/b/c/nope", "a/b/f/x/y", "..", "a/../a", "a/é", "b", None]
+    df = spark.createDataFrame(list(enumerate(paths)), "id int, path string").select("id", F.lit("").alias("start"), S.path_parts(F.col("path")).alias("parts"))
+    got = {r.id: (r.node, r.outcome) for r in tree.resolve(df, entries).collect()}
+    assert [got[i] for i in range(len(paths))] == [("file", "ok"), ("file", "ok"), ("", "ok"), ("", "ok"), (None, "missing"), (None, "not_a_directory"), (None, "path"), (None, "path"), ("x", "ok"), (None, "missing"), (None, "path")]
+    assert [r.outcome for r in tree.resolve(df.where("id < 2").withColumn("start", F.lit(None).cast("string")), entries).collect()] == ["missing", "missing"]
+    assert tree.resolve(df.where("false"), entries).count() == 0
+
+
+def test_lookup(spark):
+    names = [f"n{i:03d}" for i in range(0, 200, 2)]
+    entries = spark.createDataFrame([(d, n) for d in ("x", "y") for n in names], "directory string, name string").withColumn("digest", F.sha2("name", 256))
+    probes = spark.createDataFrame([(d, f"n{i:03d}") for d in ("x", "z") for i in range(0, 203)] * 2, "directory string, name string")
+    leaves = tree.leaf_runs(entries, 2)
+    seps = sorted(r.sep_name for r in leaves.where("directory = 'x'").collect())
+    got = {(r.directory, r.name): (r.sep_name, r.found) for r in tree.lookup(probes, leaves, entries).collect()}
+    assert got == {(d, f"n{i:03d}"): (next((s for s in seps if s >= f"n{i:03d}"), None) if d == "x" else None, d == "x" and f"n{i:03d}" in names) for d in ("x", "z") for i in range(203)}
+
+
+def test_newest_copy_is_by_number(spark):
+    df = spark.createDataFrame([("k", 9, 1), ("k", 10, 2), ("j", 2, 3)], "key string, segment_id long, off long")
+    assert {r.key: r.segment_id for r in store.newest_copies(df).collect()} == {"k": 10, "j": 2}
+    with pytest.raises(TypeError, match="numbers"):
+        store.newest_copies(df.withColumn("segment_id", F.col("segment_id").cast("string")))
+    w = spark.createDataFrame([("b", 0), ("b", 1), ("a", 0), ("a", 2)], "writer string, n long")
+    assert sorted((r.writer, r.n, r.id) for r in store.number_segments(w, "writer", "n", "id").collect()) == [("a", 0, 0), ("a", 2, 2), ("b", 0, 3), ("b", 1, 4)]
+
+
+def test_segments_that_end_badly(spark):
+    rows = [(1, "a", 8, 10, True), (1, "b", 64, 10, False), (1, "c", 120, 10, True), (2, "d", 8, 4, True)]
+    df = spark.createDataFrame(rows, "segment_id long, key string, off long, slen long, good boolean")
+    assert sorted(r.key for r in store.valid_prefix(df).collect()) == ["a", "d"]
+    index = spark.createDataFrame([(1, "a", 8), (1, "b", 65), (2, "d", 8)], "segment_id long, key string, at long")
+    bodies = spark.createDataFrame([(1, 176), (2, 60)], "segment_id long, body long")
+    assert sorted(map(tuple, store.scrub(df, index, bodies).collect())) == [(1, 3, 2, True), (2, 1, 0, False)]
+    s = spark.createDataFrame([(1, True, 5), (2, True, 6), (3, False, None)], "segment_id long, sealed boolean, sealed_at long")
+    assert [r.eligible for r in store.eligible(s, 5).orderBy("segment_id").collect()] == [True, False, False]
+    assert [r.eligible for r in store.eligible(s, None).collect()] == [False] * 3
+
+
 def test_compaction_keeps_what_lives(spark):
     rows = [(f"k{i}", 10 * i, i % 4) for i in range(40)] + [("k1", 10, 3), ("k8", 80, 1)]
     records = spark.createDataFrame(rows, "key string, slen long, segment_id long")
@@ -131,6 +191,36 @@ def test_rights(spark):
     assert got == {"ssh-ed25519 AAAA": ["read", "push-objects", "write-refs"], "ssh-rsa BBBB": ["read", "push-objects", "write-refs"], "ssh-rsa CCCC": None}
 
 
+def test_names_sizes_and_trailers(spark):
+    row = spark.sql("SELECT 1").select(
+        S.name_error(F.unhex(F.lit("ff6162")).cast("string")).alias("bytes"), S.name_error(F.lit("é" * 513)).alias("long"), S.name_error(F.lit("a@b")).alias("at"), S.name_error(F.lit("a@b"), allow_at=True).alias("user"), S.name_error(F.lit("a\x85")).alias("control"),
+        S.promoted_size(F.lit(1048524)).alias("below"), S.promoted_size(F.lit(1048525)).alias("above"), S.promoted_size(F.lit(1023)).alias("bytes_"), S.base_name(F.lit("/a/b//")).alias("base"), S.shell_quoted(F.lit("it's")).alias("quoted"), S.shell_quoted(F.lit("")).alias("empty"),
+        S.segment_number(F.lit("ffffffffffffffff.seg")).alias("most"), S.segment_number(F.lit("1.seg")).alias("short"), S.view_mode(F.lit(b'{"a": 1}')).alias("json"), S.view_mode(F.lit(b"{a")).alias("text"), S.view_mode(F.lit(b"\x00")).alias("hex"),
+        S.media_type(F.lit("a.JSON"), F.lit(b"")).alias("by_name"), S.media_type(F.lit("a"), F.unhex(F.lit("ffd8ff00"))).alias("by_bytes"), *[x.alias(f"trailer{i}") for i, x in enumerate(S.trailer_parts(F.lit(b"bodysig\x00\x00\x00\x03")))], *[x.alias(f"bad{i}") for i, x in enumerate(S.trailer_parts(F.lit(b"\x00\x00\x00\x01")))],
+    ).first()
+    assert (row.bytes, row.long, row.at, row.user, row.control) == ("encoding", "length", "at", None, "control")
+    assert (row.below, row.above, row.bytes_) == ("1023.9 KiB", "1.0 MiB", "1023 B") and (row.base, row.quoted, row.empty) == ("b", "'it'\\''s'", "''")
+    assert row.most == 2**64 - 1 and row.short is None and (row.json, row.text, row.hex) == ("json", "text", "hex")
+    assert (row.by_name, row.by_bytes) == ("application/json", "image/jpeg") and (bytes(row.trailer0), row.trailer1, row.bad0, row.bad1) == (b"body", "sig", None, None)
+
+
+def test_attribute_sizes(spark):
+    from arborlake.functions import codec
+
+    rows = [{}, {b"a": b""}, {b"k" * 23: b"v" * 24}, {b"x": b"y" * 300, b"z" * 256: b"q"}]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "id int, a map<binary,binary>")
+    assert {r.id: r.n for r in df.select("id", S.attributes_size(F.col("a")).alias("n")).collect()} == {i: len(codec.encode(x)) for i, x in enumerate(rows)}
+
+
+def test_authorisation(spark):
+    allowed = spark.createDataFrame([("a", ["admin"]), ("d", ["delegate"]), ("r", ["read"])], "key string, caps array<string>")
+    asked = spark.createDataFrame([("a", "wipe", None, None), ("x", "read", "d", ["read"]), ("x", "read", "r", ["read"]), ("x", "write-refs", "a", ["write-refs"]), ("r", "push-objects", "d", ["read"]), (None, "read", None, None)], "key string, cap string, issuer string, granted array<string>")
+    assert sorted((str(r.key), r.cap, str(r.issuer), r.outcome) for r in refs.authorise(asked, allowed).collect()) == [("None", "read", "None", "denied"), ("a", "wipe", "None", "own"), ("r", "push-objects", "d", "denied"), ("x", "read", "d", "grant"), ("x", "read", "r", "denied"), ("x", "write-refs", "a", "denied")]
+    remotes = spark.createDataFrame([(1, "o", "u1"), (2, "p", "u2"), (2, "q", "u3")], "owner int, name string, url string")
+    wanted = spark.createDataFrame([(1, None), (2, None), (2, "q"), (3, None), (1, "z")], "owner int, name string")
+    assert sorted((r.owner, str(r.name), r.outcome) for r in refs.resolve_remote(wanted, remotes).collect()) == [(1, "None", "ok"), (1, "z", "missing"), (2, "None", "ambiguous"), (2, "q", "ok"), (3, "None", "missing")]
+
+
 def test_scalars(spark):
     row = spark.sql("SELECT 1").select(
         S.show_time(F.lit(10**18), F.lit(10**18 + 10**15)).alias("near"), S.show_time(F.lit(10**18), F.lit(3 * 10**18)).alias("far"), S.rfc3339_ns(F.lit(10**18 + 120)).alias("ns"), S.rfc3339_ns(F.lit(10**18)).alias("s"),
