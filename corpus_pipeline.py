@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm.common import cut, read_table
+from arborlake.llm.common import cut, drop, fresh, read_table
 from arborlake.llm.ngram_join import link_components
 from arborlake.llm.packing import pack_documents
 from arborlake.llm.quality_rules import judge
@@ -26,25 +26,20 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their failing lines."""
-    verdict = judge(docs.select(*COLUMNS)).withColumn("row", F.monotonically_increasing_id())
-    # the row number keeps the filter above the columns it needs, which else were computed twice
-    kept = verdict.where("kept AND row >= 0")
+    """Rejected documents go; the others lose their failing lines.  Null texts are rejected, repeated rows judged alike."""
+    kept = judge(docs.select(*COLUMNS)).where("kept")
     return _as_documents(kept.withColumn("text", F.when(F.col("lost_chars") > 0, F.col("clean_text")).otherwise(F.col("text"))))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id: five words, similarity 0.8.
+    """One row of each group of near copies stays, that of the smallest id: five words, similarity 0.8.
 
-    Documents without an id stay unless a document with an id has the same set.
+    Groups are of texts, not of ids: rows with the same id and different texts are
+    judged each on its own, and rows without an id as well.  Empty texts stay.
     """
-    docs = docs.select(*COLUMNS)
-    found = cut(link_components(docs.select("doc_id", "text"), n=5, percent=80), "groups")
-    first = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if found.where("doc_id IS NULL").isEmpty():
-        return first.select(*COLUMNS)
-    nameless = link_components(docs.withColumn("copy", F.col("text")), n=5, percent=80).where("doc_id IS NULL AND component_id IS NULL")
-    return first.select(*COLUMNS).unionByName(nameless.withColumnRenamed("copy", "text").select(*COLUMNS))
+    (body,) = fresh(COLUMNS, "body")
+    found = link_components(docs.select(*COLUMNS).withColumn(body, F.col("text")), text=body, n=5, percent=80)
+    return found.where("leads_group").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +49,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; null texts become empty, repeated rows are treated alike."""
     return _as_documents(redact(scan(docs.select(*COLUMNS))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
+    """Pieces of documents with their sequence and offset; an empty text is one piece, repeated rows are packed each on its own."""
     return pack_documents(docs.select("doc_id", "text")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -70,9 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, name)
-    return docs
+    docs, before = read_table(spark, sf_dir, "documents").select(*COLUMNS), []
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+        drop(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
