@@ -3,24 +3,29 @@
 Components become integers, so scores are exact.  Vectors are lifted by one
 coordinate to a common norm M; then the nearest vectors of a query (lifted with
 zero) are those of largest inner product.  Distances of every vector to many
-pivots are computed once and written.  For a query, the largest difference of
-its and a vector's pivot distances bounds their distance from below, hence the
-score from above.  Candidates are evaluated in the order of that bound until it
-falls below the k-th score found, with a slack for rounding; ties are kept.
-
-Queries go in blocks of ``block`` rows, each of which passes once over all
-vectors, and what is broadcast has the size of a block.  Each task gives at most
-k rows for a query.  The k-th score among a bounded sample of the vectors, from
-which pivots are taken too, is every task's first threshold.
+pivots are computed once.  For a query, the largest difference of its and a
+vector's pivot distances bounds their distance from below, hence the score from
+above.  Candidates are evaluated in the order of that bound until it falls below
+the k-th score found, with a slack for rounding; ties are kept.
+
+Vectors lie in cells by their nearest pivot, in blocks of about ``block`` rows,
+queries in blocks of about ``query_block``.  One join brings a block of queries
+to the blocks of those cells that the ranges of pivot distances do not rule out,
+for all queries in one job; a pair of blocks streams through a task, and gives at
+most k rows for a query.  The k-th score among a bounded sample of the vectors,
+from which pivots are taken too, is every query's first threshold.  The driver
+sees the sample and the ranges of the cells, both of fixed size.
 
 Vectors that are null, hold null or non-finite components, or have no id take no
-part.  A query meets the vectors of its own length, but none with its own id.
-A repeated query row is answered once for each row.  Scores beyond 64 bits are
-cut to that range.
+part.  A query meets the vectors of its own length, but not its own row; rows
+that repeat its id or vector are candidates.  A repeated query row is answered
+once for each row.  Scores beyond 64 bits are cut to that range.  Other columns
+of the input are not looked at; an empty table gives no answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, read_table
 
-ROWS = 8192
+KINDS = (np.int64, np.int64, np.float64, np.float64)
 
 
 def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -91,7 +96,7 @@ class Best:
         self.score, self.id = score[order], ids[order]
 
 
-def search_rows(ids: np.ndarray, x: np.ndarray, table: np.ndarray, top: float, query_ids: np.ndarray, q: np.ndarray, q_table: np.ndarray, best: list[Best]) -> int:
+def search_rows(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, top: float, query_rows: np.ndarray, q: np.ndarray, q_table: np.ndarray, best: list[Best]) -> int:
     """Update ``best`` with these rows; the number of rows evaluated."""
     done = 0
     norms = (q * q).sum(axis=1)
@@ -99,7 +104,7 @@ def search_rows(ids: np.ndarray, x: np.ndarray, table: np.ndarray, top: float, q
     for j in range(len(q)):
         low = np.abs(table - q_table[j]).max(axis=1) if table.shape[1] else np.zeros(len(x))
         bound = (norms[j] + top - low * low) / 2 + slack[j]
-        bound[ids == query_ids[j]] = -np.inf
+        bound[rows == query_rows[j]] = -np.inf
         least = best[j].least
         at = np.flatnonzero(bound >= (least if least is not None else -np.finfo(float).max))
         at = at[np.argsort(-bound[at], kind="stable")]
@@ -119,74 +124,134 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots: int = 48, sample_rows: int = 2048, block: int = 2048, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _packed(df: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Rows ``key..., name`` (a list of four byte strings) for each group of ``df`` (key..., row, id, v, d)."""
+    names, n = [*key, *(f"{name}{i}" for i in range(4))], len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            parts = [t.column(n + i).combine_chunks() for i in range(4)]
+            data = [p.to_numpy(zero_copy_only=False).astype(k) if i < 2 else p.flatten().to_numpy(zero_copy_only=False).astype(k) for i, (p, k) in enumerate(zip(parts, KINDS, strict=True))]
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in now), *(pa.array([x.tobytes()], pa.binary()) for x in data)], names=names)
+
+        for b in batches:
+            keys = np.column_stack([b.column(i).to_numpy() for i in range(n)]) if len(b) else np.zeros((0, n), np.int64)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])) if len(b) else [0]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if tuple(keys[i]) != now:
+                    if held:
+                        yield done()
+                    now, held = tuple(keys[i].tolist()), []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield done()
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join([*(f"{k} bigint" for k in key), *(f"{name}{i} binary" for i in range(4))])
+    return df.select(*key, "row", "id", "v", "d").repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots: int = 48, sample_rows: int = 2048, block: int = 16384, query_block: int = 1024, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows ``query_id, rank, vec_id, score`` for the rows of ``vectors`` that ``is_query`` (a column) holds for."""
     spark = vectors.sparkSession
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("q"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite)
-    rows = cut(rows.select("id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"), F.coalesce("q", F.lit(False)).alias("q"), F.size(v).alias("n")), "vectors")
+    rows = rows.select("id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"), F.coalesce("q", F.lit(False)).alias("q"), F.size(v).alias("n"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
-    parts: list[DataFrame] = []
-    for r in rows.groupBy("n").agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("count")).orderBy("n").collect():  # one row for each length of vector
-        own = rows.where(F.col("n") == r["n"])
-        parts += _search(own, r["n"], r["top"], r["count"], k, pivots, sample_rows, block)
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
-
-
-def _search(rows: DataFrame, width: int, top: float, count: int, k: int, pivots: int, sample_rows: int, block: int) -> list[DataFrame]:
+    found = spark.createDataFrame([], "row bigint, query_id bigint, vec_id bigint, score bigint")
+    for r in rows.groupBy("n").agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("count"), F.count_if("q").alias("queries")).orderBy("n").collect():  # one row for each length of vector
+        if r["queries"]:
+            found = found.unionByName(_search(rows.where(F.col("n") == r["n"]), r["n"], r["top"], r["count"], r["queries"], k, pivots, sample_rows, block, query_block))
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _search(rows: DataFrame, width: int, top: float, count: int, queries: int, k: int, pivots: int, sample_rows: int, block: int, query_block: int) -> DataFrame:
     spark = rows.sparkSession
     # the share is taken by hash before the order, so that tasks send few rows
     place, share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)), min(1.0, 4 * sample_rows / count)
     sample = rows.where(place < int(share * (1 << 40))).orderBy(place, "id", "v").limit(sample_rows).collect()
-    s_ids = np.array([r["id"] for r in sample], np.int64)
+    s_rows = np.array([r["row"] for r in sample], np.int64)
     s = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), width)
     chosen = choose_pivots(s, top, pivots) if len(sample) else Pivots(np.zeros((0, width)), top)
+    p = len(chosen.rows)
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = chosen.of_vectors(_matrix(b.column(1), width)) if width else np.zeros((len(b), 0))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["id", "v", "d"])
-
-    table = cut(rows.select("id", "v").mapInArrow(distances, "id bigint, v array<double>, d array<double>"), "pivot_table")
-
-    def answer(waiting: list) -> DataFrame:
-        q_ids = np.array([r["id"] for r in waiting], np.int64)
-        q = np.array([r["v"] for r in waiting], np.float64).reshape(len(waiting), width)
-        first = []
-        for i in range(len(q)):
-            scores = exact_products(s[s_ids != q_ids[i]], q[i])
-            first.append(int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None)
-        shared = spark.sparkContext.broadcast((q_ids, q, chosen.of_queries(q), first))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q, q_table, first = shared.value
-            best = [Best(k, x) for x in first]
-            for b in batches:
-                if len(b):
-                    x, d = _matrix(b.column(1), width) if width else np.zeros((len(b), 0)), _matrix(b.column(2), q_table.shape[1]) if q_table.shape[1] else np.zeros((len(b), 0))
-                    search_rows(b.column(0).to_numpy(), x, d, top, q_ids, q, q_table, best)
-            n = [len(x.id) for x in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), n), pa.int64()), pa.array(np.repeat(q_ids, n), pa.int64()), pa.array(np.concatenate([x.id for x in best]), pa.int64()), pa.array(np.concatenate([x.score for x in best]), pa.int64())], names=["number", "query_id", "vec_id", "score"])
-
-        found = table.mapInArrow(run, "number bigint, query_id bigint, vec_id bigint, score bigint")
-        order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
-        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return cut(ranked.select("query_id", "rank", "vec_id", "score"), "answers")
-
-    parts, waiting = [], []
-    for r in rows.where("q").select("id", "v").toLocalIterator():  # a block of queries at a time is held
-        waiting.append(r)
-        if len(waiting) == block:
-            parts.append(answer(waiting))
-            waiting = []
-    return [*parts, answer(waiting)] if waiting else parts
+            d = chosen.of_vectors(_matrix(b.column(2), width)) if p else np.zeros((len(b), 0))
+            cell = d.argmin(axis=1) if p else np.zeros(len(b), np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * p, pa.int32()), pa.array(d.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell, pa.int64()), flat], names=["row", "id", "v", "cell", "d"])
+
+    table = cut(rows.select("row", "id", "v").mapInArrow(distances, "row bigint, id bigint, v array<double>, cell bigint, d array<double>"), "pivot_table")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, n = np.full((max(p, 1), p), np.inf), np.full((max(p, 1), p), -np.inf), np.zeros(max(p, 1), np.int64)
+        for b in batches:
+            cell, d = b.column(0).to_numpy(), _matrix(b.column(1), p) if p else np.zeros((len(b), 0))
+            np.minimum.at(low, cell, d)
+            np.maximum.at(high, cell, d)
+            n += np.bincount(cell, minlength=len(n))
+        for c in np.flatnonzero(n):
+            yield pa.RecordBatch.from_arrays([pa.array([c] * max(p, 1), pa.int64()), pa.array(range(max(p, 1)), pa.int64()), pa.array(low[c] if p else [0.0]), pa.array(high[c] if p else [0.0]), pa.array([n[c]] * max(p, 1), pa.int64())], names=["cell", "pivot", "low", "high", "n"])
+
+    low, high, n = np.full((max(p, 1), p), np.inf), np.full((max(p, 1), p), -np.inf), np.zeros(max(p, 1), np.int64)
+    parts = table.select("cell", "d").mapInArrow(ranges, "cell bigint, pivot bigint, low double, high double, n bigint")
+    for r in parts.groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect():  # at most pivots x pivots rows
+        n[r["cell"]] = r["n"]
+        if p:
+            low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"], r["high"]
+    splits = [max(1, math.ceil(x / block)) for x in n.tolist()]
+    groups = max(1, math.ceil(queries / query_block))
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with their pivot distances and first threshold, once for each cell that may hold a better score."""
+        for b in batches:
+            at, q = b.column(0).to_numpy(), _matrix(b.column(2), width) if width else np.zeros((len(b), 0))
+            d = chosen.of_queries(q) if p else np.zeros((len(b), 0))
+            norms = (q * q).sum(axis=1)
+            row, cell, first = [], [], []
+            for i in range(len(q)):
+                scores = exact_products(s[s_rows != at[i]], q[i])
+                least = int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else None
+                near = np.maximum(0, np.maximum(low - d[i], d[i] - high)).max(axis=1) if p else np.zeros(1)
+                bound = (norms[i] + top - near * near) / 2 + 1e-7 * (top + norms[i]) + 1.0
+                ok = np.flatnonzero((n > 0) & (bound >= (least if least is not None else -np.inf)))
+                row += [i] * len(ok)
+                cell += ok.tolist()
+                first += [[-1.0, 0.0] if least is None else [1.0, float(least)]] * len(ok)
+            # the threshold, beyond doubles rounded down, travels in front of the distances
+            first = [[x[0], np.nextafter(x[1], -np.inf) if abs(x[1]) > 2**53 else x[1]] for x in first]
+            both = np.concatenate([np.array(first, np.float64).reshape(len(row), 2), d[row]], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * (p + 2), pa.int32()), pa.array(both.ravel()))
+            taken = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), taken.column(2), flat, pa.array(cell, pa.int64())], names=["row", "id", "v", "d", "cell"])
+
+    part_of = lambda x, seed, m: F.pmod(F.xxhash64(x, F.lit(seed)), m)
+    many = F.element_at(F.array(*[F.lit(x).cast("long") for x in splits]), (F.col("cell") + 1).cast("int"))
+    blocks = _packed(table.withColumn("split", part_of("row", 5, many)), ["cell", "split"], "x")
+    asked = rows.where("q").select("row", "id", "v").mapInArrow(allowed, "row bigint, id bigint, v array<double>, d array<double>, cell bigint")
+    asked = _packed(asked.withColumn("group", part_of("row", 6, F.lit(groups))), ["cell", "group"], "q")
+    asked = asked.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                x, q = ([np.frombuffer(b.column(f"{c}{j}")[i].as_py(), kind) for j, kind in enumerate(KINDS)] for c in "xq")
+                rest = q[3].reshape(-1, p + 2)
+                best = [Best(k, math.floor(f[1]) if f[0] > 0 else None) for f in rest[:, :2]]
+                search_rows(x[0], x[1], x[2].reshape(len(x[0]), width), x[3].reshape(-1, p) if p else np.zeros((len(x[0]), 0)), top, q[0], q[2].reshape(len(q[0]), width), rest[:, 2:], best)
+                m = [len(y.id) for y in best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], m)), pa.array(np.repeat(q[1], m)), pa.array(np.concatenate([y.id for y in best])), pa.array(np.concatenate([y.score for y in best]))], names=["row", "query_id", "vec_id", "score"])
+
+    return blocks.join(asked, ["cell", "split"]).mapInArrow(run, "row bigint, query_id bigint, vec_id bigint, score bigint")
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,17 +260,17 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id,
+  SELECT q.rn, q.vec_id AS query_id, v.vec_id,
     CAST(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x)
+  FROM v q JOIN v ON q.rn <> v.rn AND len(q.x) = len(v.x)
   WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 10
 """
