@@ -8,12 +8,15 @@ pattern with the most room; a pattern is a list of lengths and a count of
 sequences.  Patterns are joined back to pieces by rank: a piece's rank among
 those of its length says which slot of which sequence is its own.
 
-Ranks come from row numbers within (length, salt) plus the counts of lower
-salts, so no task gathers all pieces of a common length.  Patterns are
-broadcast: their number depends on the number of lengths, not of pieces.
+Ranks take no sort: a task that cuts documents numbers its pieces of each length,
+and the tasks' counts, summed up in order, say where each task's numbers begin.
+Patterns are broadcast: a length splits at most one pattern and begins at most
+two, so there are at most ``3 * max_length`` of them, whatever the corpus.
 
 Null text counts as empty, which leaves the single closing id.  Rows that repeat
-are packed each on its own.
+are packed each on its own; pieces of equal length are alike, so ties may fall in
+any order.  A very long text is many pieces.  Columns named as those made here are
+replaced, others keep their names; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, load
-from .common import cut, fresh, read_table
+from .common import cut, fresh, read_table, small
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -84,21 +88,26 @@ class Slots:
         return first[i] + rank - start[i], offset[i]
 
 
+MADE = ["start", "length", "ids_crc32", "doc_tokens"]
+PLACED = ["sequence_id", "offset"]
+
+
 def pieces(docs: DataFrame, text: str = "text", max_length: int = 1024, path: str | None = None, closing_id: int = 0) -> DataFrame:
-    """A row for each piece: the other columns plus ``start, length, ids_crc32, doc_tokens``."""
+    """A row for each piece: the other columns plus ``start, length, ids_crc32, doc_tokens``, and two last columns with the
+    task that cut it and its number among the task's pieces of that length."""
     path = path or default_vocabulary()
-    made = ["start", "length", "ids_crc32", "doc_tokens"]
-    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]
-    (x,) = fresh(docs.columns + made, "text_to_pack")
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *MADE, *PLACED)]
+    x, task, nth = fresh(rest + MADE + PLACED, "text_to_pack", "pack_task", "pack_nth")
     df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(x))
     schema = df.drop(x).schema
-    for name in made:
+    for name in (*MADE, task, nth):
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, closing = load(path), np.array([closing_id], np.uint32)
+        bpe, closing, own = load(path), np.array([closing_id], np.uint32), TaskContext.get().partitionId()
+        counts = [0] * (max_length + 1)
         for b in batches:
-            row, start, length, crc, total = [], [], [], [], []
+            row, start, length, crc, total, number = [], [], [], [], [], []
             for i, v in enumerate(b.column(b.num_columns - 1)):
                 ids = np.concatenate([bpe.encode(v.as_py() or ""), closing]).astype("<u4")
                 for at in range(0, len(ids), max_length):
@@ -108,30 +117,26 @@ def pieces(docs: DataFrame, text: str = "text", max_length: int = 1024, path: st
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     total.append(len(ids))
+                    number.append(counts[len(part)])
+                    counts[len(part)] += 1
             kept = b.select(list(range(b.num_columns - 1))).take(pa.array(row, pa.int64())) if b.num_columns > 1 else None
-            yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(kept.columns if kept else []), *(pa.array(c, pa.int64()) for c in (start, length, crc, total, [own] * len(row), number))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def pack(parts: DataFrame, max_length: int = 1024, salts: int | None = None) -> DataFrame:
-    """``parts`` (with ``length``, 1 to ``max_length``) plus ``sequence_id, offset``.  ``parts`` is read twice: give a written table."""
+def pack(parts: DataFrame, max_length: int = 1024) -> DataFrame:
+    """``parts``, a written table that ``pieces`` gave, with ``sequence_id, offset`` in place of its last two columns."""
     spark = parts.sparkSession
-    sizes = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most max_length rows
-    patterns = pack_histogram(sizes, max_length)
-    if sum(len(x) for _, x in patterns) > 4_000_000:
-        raise ValueError("the packing patterns are too many to broadcast")
-    salts = salts or min(4096, max(64, sum(sizes.values()) // 100_000))
-    shared = spark.sparkContext.broadcast(Slots(patterns))
-    salt, local, before, rank = fresh(parts.columns + ["sequence_id", "offset"], "pack_salt", "pack_local", "pack_before", "pack_rank")
-    columns = [F.col(f"`{c}`") for c in parts.columns]
-    salted = parts.withColumn(salt, F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    within = Window.partitionBy("length", salt)
-    ranked = salted.withColumn(local, F.row_number().over(within.orderBy(*columns)) - 1)
-    counts = salted.groupBy("length", salt).agg(F.count(F.lit(1)).alias("pack_n"))
-    counts = counts.select("length", salt, (F.sum("pack_n").over(Window.partitionBy("length").orderBy(salt)) - F.col("pack_n")).alias(before))
-    df = ranked.join(counts, ["length", salt]).select(*columns, (F.col(local) + F.col(before)).cast("long").alias(rank))
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    *columns, task, nth = parts.columns
+    counts = cut(parts.groupBy("length", task).agg(F.count(F.lit(1)).alias("n")), "pack_counts")
+    sizes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_length rows
+    shared = spark.sparkContext.broadcast(Slots(pack_histogram(sizes, max_length)))
+    before = (F.sum("n").over(Window.partitionBy("length").orderBy(task)) - F.col("n")).alias("n")
+    begin, rank = fresh(parts.columns + PLACED, "pack_begin", "pack_rank")
+    begins = cut(counts.select("length", task, before).withColumnRenamed("n", begin), "pack_begins")
+    df = parts.join(small(begins), ["length", task]).select(*[F.col(f"`{c}`") for c in columns], (F.col(nth) + F.col(begin)).cast("long").alias(rank))
+    schema = df.drop(rank).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
