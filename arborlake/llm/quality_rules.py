@@ -10,6 +10,8 @@ of a higher-order function, never inside a lambda, so that nothing is computed
 once per element that could be computed once per row.
 
 Null text counts as empty: no words, which fails the base rule of 50 words.
+Repeated rows are judged alike, and an empty table gives none.  Very long texts
+are judged whole.  Columns named as those made here are replaced.
 """
 
 from __future__ import annotations
@@ -79,8 +81,6 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     keep = [F.col(f"`{c}`") for c in own]
     t, w, z, h, dup, s, eq, at, ln, low, good = fresh(own + out, *"q_text q_words q_zip q_hash q_dup q_sorted q_eq q_at q_lines q_low q_good".split())
     c = F.col
-    # always true, but not deterministic to the optimizer: filters stay above the columns, which else were computed for each of their uses
-    true = F.monotonically_increasing_id() >= 0
     df = docs.select(*keep, F.coalesce(c(f"`{text}`").cast("string"), F.lit("")).alias(t))
     df = df.select(*keep, t, F.filter(F.split(c(t), f"[{SPACES}]+", -1), lambda x: x != "").alias(w), F.split(c(t), "\n", -1).alias(ln), F.split(F.lower(t), "\n", -1).alias(low))
     n = F.size(w)
@@ -117,13 +117,13 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "te
     df = df.withColumn(at, hit)
     df = df.select(
         *keep, "n_words", "n_dup_lines", "word_chars", "n_symbols", "clean_text",
-        F.when(true, F.size(F.array_distinct(F.flatten(F.array(c(at), F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2)))))).cast("long").alias("n_repeat_words"),
+        F.size(F.array_distinct(F.flatten(F.array(c(at), F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2))))).cast("long").alias("n_repeat_words"),
     )
     failed = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.max_repeat_percent * c("n_words"))
-    df = df.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (true & failed).alias("base_failed"), "clean_text",
-        F.when(true, c("word_chars") - F.length(F.regexp_replace("clean_text", f"[{SPACES}]+", ""))).cast("long").alias("lost_chars"),
-    )
+    lost = (c("word_chars") - F.length(F.regexp_replace("clean_text", f"[{SPACES}]+", ""))).cast("long")
+    made = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "clean_text", lost.alias("lost_chars"))
+    # rows of a generator: filters stay above them, where else each would compute the columns it needs once more
+    df = df.select(*keep, F.inline(F.array(made)))
     return df.withColumn("kept", ~c("base_failed") & (c("lost_chars") <= rules.max_lost * c("word_chars")))
 
 
