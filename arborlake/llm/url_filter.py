@@ -4,12 +4,18 @@ Rules give the labels: URLs that a rule decides train the trees on lexical
 features alone, and the trees decide the URLs that no rule fits.  Suffix
 statistics (smoothed share of blocked URLs by last host label, second-level
 domain and file extension) are counted over all labelled rows into a fixed
-number of hashed buckets, so what is broadcast has a fixed size.
+number of hashed buckets, so what is broadcast has a fixed size.  They are out of
+fold: domains are dealt into folds, and a URL's statistics, in training as in
+judging, come from the labels of the other folds.  So a domain's own labels never
+tell its own verdict, and a rule for one path of it says nothing of the rest.
 
 The trees are fitted on at most ``max_train_rows`` different labelled URLs, those
 with the smallest hashes.  Null URLs, or URLs without ``://``, have an empty host and
 path and are judged by the same features.  If no URL is labelled, or all labels
-agree, the trees return that share (nothing labelled: allow).
+agree, the trees return that share (nothing labelled: allow).  A probability of
+exactly the threshold blocks.  Repeated URLs get the same verdict and train once;
+very long ones are judged whole.  Columns named as those made here are replaced,
+others keep their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, ASCII_UPPER, fresh, read_table
 
 SUFFIX_BUCKETS = 1024
+FOLDS = 5
 
 #: The rules of the registered query. Fixed values.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -59,8 +66,20 @@ def suffix_buckets(host: str, path: str) -> tuple[int, int, int]:
     return tuple(zlib.crc32(f"{i}:{x}".encode("utf-8", "replace")) % SUFFIX_BUCKETS for i, x in enumerate((labels[-1], ".".join(labels[-2:]), ext[:16])))
 
 
+def fold_of(host: str) -> int:
+    """The fold of a host's domain."""
+    return zlib.crc32(".".join(host.split(":")[0].split(".")[-2:]).encode("utf-8", "replace")) % FOLDS
+
+
+def out_of_fold(seen: np.ndarray) -> np.ndarray:
+    """Rates by fold, kind and bucket from the counts (fold, kind, bucket, label) of the other folds."""
+    others = seen.sum(axis=0) - seen
+    return (others[..., 1] + 5) / (others.sum(axis=-1) + 10)
+
+
 def features(url: str, host: str, path: str, rates: np.ndarray) -> list[float]:
-    """Lexical features; ``rates`` are the suffix statistics by kind and bucket."""
+    """Lexical features; ``rates`` are the suffix statistics by fold, kind and bucket."""
+    rates = rates[fold_of(host)]
     n = max(1, len(url))
     counts = Counter(url)
     query = url.partition("?")[2].partition("#")[0]
@@ -157,18 +176,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url:
     labelled = df.where("rule IS NOT NULL").select(F.coalesce(u, F.lit("")).alias("u"), "host", "path", (F.col("verdict") == "block").cast("int").alias("y"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((3, SUFFIX_BUCKETS, 2), np.int64)
+        seen = np.zeros((FOLDS, 3, SUFFIX_BUCKETS, 2), np.int64)
         for b in batches:
             for h, p, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f = fold_of(h)
                 for i, k in enumerate(suffix_buckets(h, p)):
-                    seen[i, k, y] += 1
-        i, k = np.nonzero(seen.sum(axis=2))
-        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "k": k.astype(np.int32), "no": seen[i, k, 0], "yes": seen[i, k, 1]})
-
-    rates, n_labelled = np.full((3, SUFFIX_BUCKETS), 0.5), 0
-    for r in labelled.select("host", "path", "y").mapInArrow(suffixes, "i int, k int, no long, yes long").groupBy("i", "k").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).collect():  # at most 3 x 1024 rows
-        rates[r["i"], r["k"]] = (r["yes"] + 5) / (r["yes"] + r["no"] + 10)
-        n_labelled += (r["yes"] + r["no"]) * (r["i"] == 0)
+                    seen[f, i, k, y] += 1
+        at = np.flatnonzero(seen.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], names=["at", "n"])
+
+    seen = np.zeros(FOLDS * 3 * SUFFIX_BUCKETS * 2)
+    for r in labelled.select("host", "path", "y").mapInArrow(suffixes, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 30 x 1024 rows
+        seen[r["at"]] = r["n"]
+    seen = seen.reshape(FOLDS, 3, SUFFIX_BUCKETS, 2)
+    rates, n_labelled = out_of_fold(seen), int(seen[:, 0].sum())
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
