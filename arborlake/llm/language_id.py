@@ -3,17 +3,24 @@
 Text is lower-cased per code point, everything but letters becomes a single
 space, and n-grams of one to three characters are hashed into a fixed number of
 buckets.  Counts are taken on the executors and only their fixed-size sums reach
-the driver; the log-probability matrix (buckets x languages, at most 64 MB) is
-broadcast, and each text is scored by summing the matrix rows of its n-grams.
+the driver.  The log-probability matrix (buckets x languages, 256 KB a language)
+is broadcast.  Texts are scored in batches: the n-grams of all texts of a batch
+are counted as a sparse matrix (text, bucket, count), whose product with the
+log-probabilities is summed by text.
 
 The model is fitted on a bounded sample of labelled rows (``max_train_docs``):
 of each language the same number of different texts, or all if it has fewer,
 chosen by a hash of the text, so that the same ones are taken however the table
-is split.  Priors are counted over all labelled rows, and a language without a
-letter in its texts is left out.  Prediction covers every row and every whole text.
+is split.  As every language has a text there, the same number bounds the
+languages and with them the matrix.  Priors are counted over all labelled rows,
+and a language without a letter in its texts is left out.  Prediction covers
+every row and every whole text.
 
 Null text, or text without a letter: language ``und`` with score 0.  If nothing
-can be learned (no labelled row), every text gets ``und``.
+can be learned (no labelled row), every text gets ``und``.  Ties go to the first
+language in order.  Repeated rows get the same answer, and train once.  Columns
+named as those made here are replaced, others keep their names; an empty table
+gives none.
 """
 
 from __future__ import annotations
@@ -47,6 +54,16 @@ def _lower() -> np.ndarray:
     return table
 
 
+def _hashed(x: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Buckets of the n-grams of a row of code points."""
+    h = np.full(len(x) - n + 1, n, np.uint64)
+    for k in range(n):
+        h += (x[k : len(x) - n + 1 + k] + np.uint64(1)) * PLACES[k]
+        h ^= h >> np.uint64(29)
+    h *= PLACES[0]
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def ngram_buckets(text: str | None, bits: int) -> Iterator[np.ndarray]:
     """Bucket numbers of the text's n-grams, slice by slice; nothing if it has no letter."""
     if not text:
@@ -68,19 +85,47 @@ def ngram_buckets(text: str | None, bits: int) -> Iterator[np.ndarray]:
             if len(code) - first < n:
                 continue
             x = code[first:].astype(np.uint64)
-            h = np.full(len(x) - n + 1, n, np.uint64)
-            for k in range(n):
-                h += (x[k : len(x) - n + 1 + k] + np.uint64(1)) * PLACES[k]
-                h ^= h >> np.uint64(29)
-            h *= PLACES[0]
-            h >>= np.uint64(64 - bits)
-            if n == 1:
-                h = h[x != 32]
-            yield h.astype(np.int64)
-
-
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(map(str.isalpha, text))
+            h = _hashed(x, n, bits)
+            yield h[x != 32] if n == 1 else h
+
+
+def batch_counts(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, count) of the n-grams of many texts, in order of text and bucket."""
+    keys, many = [np.zeros(0, np.int64)], []
+    short, size = [], 0
+
+    def flush() -> None:
+        if not short:
+            return
+        lengths = np.array([len(t) + 2 for _, t in short])
+        code = _lower()[np.frombuffer("".join(f" {t} " for _, t in short).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        own = np.repeat([i for i, _ in short], lengths)
+        # one space for each run of them within a text
+        kept = np.ones(len(code), bool)
+        kept[1:] = (code[1:] != 32) | (code[:-1] != 32) | (own[1:] != own[:-1])
+        code, own = code[kept].astype(np.uint64), own[kept]
+        for n in ORDERS:
+            if len(code) >= n:
+                h = _hashed(code, n, bits)
+                same = own[: len(h)] == own[n - 1 :]
+                if n == 1:
+                    same &= code != 32
+                keys.append((own[: len(h)][same] << bits) | h[same])
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        if len(t) > SLICE:
+            many += [(i << bits) | h for h in ngram_buckets(t, bits)]
+            continue
+        short.append((i, t))
+        size += len(t)
+        if size > SLICE:
+            flush()
+            short, size = [], 0
+    flush()
+    key, count = np.unique(np.concatenate(keys + many), return_counts=True)
+    return key >> bits, key & ((1 << bits) - 1), count
 
 
 @dataclass(frozen=True)
@@ -90,33 +135,41 @@ class LanguageModel:
     log_prior: np.ndarray
     bits: int
 
+    def predict_batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text, ties to the first in order, and its posterior probability."""
+        if not self.languages or not texts:
+            return [("und", 0.0)] * len(texts)
+        text, bucket, count = batch_counts(texts, self.bits)
+        total = np.tile(self.log_prior, (len(texts), 1))
+        step = max(1, (1 << 22) // len(self.languages))
+        for lo in range(0, len(text), step):
+            own = text[lo : lo + step]
+            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            part = self.log_prob[bucket[lo : lo + step]] * count[lo : lo + step, None]
+            total[own[head]] += np.add.reduceat(part, head, axis=0, dtype=np.float64)
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
+        lettered = np.zeros(len(texts), bool)
+        lettered[text] = True  # a bucket of a single letter, at least
+        return [(self.languages[b], float(p)) if ok else ("und", 0.0) for b, p, ok in zip(best.tolist(), score.tolist(), lettered.tolist(), strict=True)]
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language, ties to the first in order, and its posterior probability."""
-        if not self.languages or not has_letter(text):
-            return "und", 0.0
-        total = self.log_prior.copy()
-        for h in ngram_buckets(text, self.bits):
-            total += self.log_prob[h].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        return self.predict_batch([text])[0]
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_docs: int = 20_000, bits: int = 16, max_languages: int = 1024, smoothing: float = 0.1) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", max_train_docs: int = 20_000, bits: int = 16, smoothing: float = 0.1) -> LanguageModel:
     """Learn from the rows of ``docs`` whose language isn't null.
 
-    At most ``max_train_docs`` different texts, or one for each language, are
-    taken; the ``max_languages`` most frequent values are learned.  The matrix is kept
-    below 2^24 entries by using fewer buckets for many languages.
+    At most ``max_train_docs`` different texts are taken, at least one of each
+    language; beyond that many languages, those of most rows are learned.
     """
     known = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("g")).where("g IS NOT NULL")
     h, lettered = F.shiftrightunsigned(F.xxhash64("t", F.lit(17)), 1), F.col("t").rlike(r"\p{L}")
     sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(lettered, h)).alias("texts"))
-    sizes = sizes.where("texts > 0").orderBy(F.desc("n"), "g").limit(max_languages).collect()
+    sizes = sizes.where("texts > 0").orderBy(F.desc("n"), "g").limit(max_train_docs).collect()
     languages = sorted(r["g"] for r in sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, 0)), np.zeros(0), bits)
-    while len(languages) << bits > 1 << 24:
-        bits -= 1
     # what languages with few texts leave is shared by the others
     most = left = max_train_docs
     for i, r in enumerate(sorted(sizes, key=lambda r: r["texts"])):
@@ -159,8 +212,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     """``docs`` without its text, plus ``lang_pred`` and ``score``; columns of these names are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score")]
-    (t,) = fresh(docs.columns, "text_to_score")
+    rest = [c for c in docs.columns if c.lower() != text.lower() and c.lower() not in ("lang_pred", "score")]
+    (t,) = fresh([*docs.columns, "lang_pred", "score"], "text_to_score")
     df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(t))
     schema = df.drop(t).schema.add("lang_pred", "string").add("score", "double")
 
@@ -168,7 +221,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         m = shared.value
         for b in batches:
             k = b.num_columns - 1
-            found = [m.predict(x) for x in b.column(k).to_pylist()]
+            found = m.predict_batch(b.column(k).to_pylist())
             columns = [*b.columns[:k], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
