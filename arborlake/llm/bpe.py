@@ -1,38 +1,53 @@
 """Byte-level BPE encoding and decoding, exact to a tokenizer file.
 
-Ordinary text is split by the file's pattern and merged by rank.  A stretch that
-the pattern leaves whole (a pre-token of more than ``LONG`` bytes) is encoded by
-tree concatenation: its halves are encoded on their own, in parallel at the
-leaves, and around each join a growing window of tokens is encoded again until
-its first and last tokens agree with those that the two sides have there.  A
-sequence of BPE tokens is the encoding of its text exactly when every adjacent
-pair is, so agreement at both ends of the window makes the joined sequence exact.
+Ordinary text is split by the file's pattern and merged by rank.  Long text is
+encoded by tree concatenation: it is cut into leaves wherever they end, each leaf
+is a row that any task may encode, and neighbouring halves are joined level by
+level, each join a row too.  At a join a growing window of pre-tokens of both
+sides is split again until its first and last one agree with those that the two
+sides have there.  The scan that splits goes forward from a boundary and looks
+one character ahead, so agreement makes the joined sequence exact; what lies
+outside the window is never touched again.
+
+A stretch that the pattern leaves whole (a pre-token of more than ``LONG`` bytes)
+is encoded the same way below the level of pre-tokens: its halves on their own,
+then a growing window of tokens around each join is encoded again until its ends
+agree.  A sequence of BPE tokens is the encoding of its text exactly when every
+adjacent pair is, so agreement at both ends makes that join exact as well.
 
 Merging by rank equals merging by the file's list if ranks follow the list and
 every token alone encodes to itself; ``Bpe`` checks both when it loads, and
-otherwise leaves the whole work to the tokenizers library.
+otherwise leaves the whole work to the tokenizers library, as it does for long
+texts that hold a special token.
 
-Null text counts as empty: no ids.
+Null text counts as empty: no ids.  Repeated rows are encoded each on its own.
+Columns named as those made here are replaced, others keep their names; an empty
+table gives none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fresh, read_table, widened
+from .common import cut, fresh, read_table, widened
 
-LONG = 2048
-LEAF = 512
+#: Bytes above which a pre-token is encoded by halves, and of its leaves.
+LONG, LEAF = 2048, 512
+#: Characters above which a text is encoded by halves in rows of their own, and of its leaves.
+LONG_TEXT, TEXT_LEAF = 16384, 8192
 #: How byte-level vocabularies split text. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -44,6 +59,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Part:
+    """A stretch of text with its pre-tokens: characters and ids of each."""
+
+    text: str
+    chars: list[int]
+    ids: list[list[int]]
+
+
 class Bpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -123,6 +147,45 @@ class Bpe:
                 return left[: len(left) - len(a)] + mid + right[len(b) :]
             w *= 2
 
+    # long text by halves
+
+    def leaf(self, text: str) -> Part:
+        chars, ids, known = [], [], {}
+        for _, (start, end) in self.plain.pre_tokenizer.pre_tokenize_str(text):
+            piece = text[start:end]
+            if (found := known.get(piece)) is None:
+                found = known[piece] = self.piece(piece)
+            chars.append(end - start)
+            ids.append(found)
+        return Part(text, chars, ids)
+
+    def piece(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        return self.fast._encode_single_piece(raw) if len(raw) <= LONG else self.tree(raw)
+
+    def join_parts(self, left: Part, right: Part) -> Part:
+        """The part that ``left.text + right.text`` alone would give."""
+        if not left.chars or not right.chars:
+            return right if not left.chars else left
+        w = 1
+        while True:
+            a, b = min(w, len(left.chars)), min(w, len(right.chars))
+            window = left.text[len(left.text) - sum(left.chars[-a:]) :] + right.text[: sum(right.chars[:b])]
+            spans = [x for _, x in self.plain.pre_tokenizer.pre_tokenize_str(window)]
+            agrees = spans[-1][0] == len(window) - right.chars[b - 1]
+            if agrees or b == len(right.chars):
+                break
+            w *= 2
+        chars, ids = left.chars[:-a], left.ids[:-a]
+        for start, end in spans[:-1] if agrees else spans:
+            piece = window[start:end]
+            whole = end - start == left.chars[-1] + right.chars[0] and start == sum(left.chars[-a:-1])
+            chars.append(end - start)
+            # two halves of one pre-token: their tokens are joined
+            ids.append(self.join(left.ids[-1], right.ids[0]) if whole and len(piece) > LONG else self.piece(piece))
+        keep = b - 1 if agrees else b
+        return Part(left.text + right.text, chars + right.chars[keep:], ids + right.ids[keep:])
+
     # decoding
 
     def decode(self, ids) -> str:
@@ -141,54 +204,113 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` without its text, plus ``ids array<int>``."""
-    return _mapped(docs, text, path, "ids", "array<int>", lambda bpe, t: bpe.encode(t).astype(np.int32), pa.list_(pa.int32()))
+def encode_long(texts: DataFrame, path: str) -> DataFrame:
+    """Rows ``row, ids`` (array) of ``row, text``: leaves as rows, then halves joined level by level."""
+    most = texts.agg(F.max(F.length("text"))).first()[0] or 0
+    names, kind = ["row", "pos", "part"], "row bigint, pos bigint, part binary"
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
 
+    def batch(row: int, pos: int, part: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([pos], pa.int64()), pa.array([pickle.dumps(part)], pa.binary())], names=names)
 
-def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` without its ids, plus ``text string``; null ids give an empty text."""
-    return _mapped(docs, ids, path, "text", "string", lambda bpe, x: bpe.decode(x or []), pa.string())
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py()
+                for k, at in enumerate(range(0, len(text), TEXT_LEAF)):
+                    yield batch(row, k, text[at : at + TEXT_LEAF])
 
+    def encode_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for b in batches:
+            for row, pos, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                yield batch(row, pos, bpe.leaf(pickle.loads(x.as_py())))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, held = load(path), None
+        for b in batches:
+            for row, pos, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                part = pickle.loads(x.as_py())
+                if held is not None and held[:2] == (row, pos - 1) and pos % 2:
+                    yield batch(row, pos // 2, bpe.join_parts(held[2], part))
+                    held = None
+                    continue
+                if held is not None:
+                    yield batch(held[0], held[1] // 2, held[2])
+                held = (row, pos, part)
+        if held is not None:
+            yield batch(held[0], held[1] // 2, held[2])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, x in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                ids = np.array([i for p in pickle.loads(x.as_py()).ids for i in p], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["row", "ids"])
 
-def _mapped(docs: DataFrame, column: str, path: str | None, made: str, kind: str, f, arrow) -> DataFrame:
+    level = cut(texts.select("row", "text").mapInArrow(leaves, kind).repartition(tasks, "row", "pos").mapInArrow(encode_leaf, kind), "bpe_leaves")
+    n = -(-most // TEXT_LEAF)
+    while n > 1:
+        pairs = level.repartition(tasks, "row", F.floor(F.col("pos") / 2)).sortWithinPartitions("row", "pos")
+        level, n = cut(pairs.mapInArrow(join, kind), "bpe_level"), -(-n // 2)
+    return level.mapInArrow(flat, "row bigint, ids array<int>")
+
+
+def _with_ids(docs: DataFrame, text: str, path: str | None, made: str, f, arrow: list) -> DataFrame:
+    """The other columns plus those of the schema ``made``, which ``f(bpe, ids)`` gives for each text's ids."""
     path = path or default_vocabulary()
-    rest = [c for c in docs.columns if c.lower() not in (column.lower(), made.lower())]
-    (x,) = fresh(docs.columns + [made], "bpe_input")
-    df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{column}`").alias(x))
-    schema = widened(df.drop(x).schema, f"{made} {kind}")
+    fields = StructType.fromDDL(made).names
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *fields)]
+    x, row = fresh(docs.columns + fields, "bpe_input", "bpe_row")
+    df = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(x))
+    schema = widened(df.drop(x).schema, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            out = [f(bpe, v if v is not None else "") for v in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, arrow)], names=schema.names)
+            out = [f(bpe, bpe.encode(v) if isinstance(v, str) else np.array(v, np.uint32)) for v in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([o[i] for o in out], k) for i, k in enumerate(arrow))], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    bpe = load(path)
+    by_halves = F.length(x) > LONG_TEXT
+    for special in bpe.special:
+        by_halves = by_halves & ~F.contains(x, F.lit(special))
+    if bpe.fast is None:
+        return df.mapInArrow(run, schema)
+    long = cut(df.where(by_halves).withColumn(row, F.monotonically_increasing_id()), "bpe_long")
+    ids = encode_long(long.select(F.col(row).alias("row"), F.col(x).alias("text")), path).select(F.col("row").alias(row), "ids")
+    joined = long.drop(x).join(ids.withColumnRenamed("ids", x), row).select(*[F.col(f"`{c}`") for c in rest], x)
+    return df.where(~by_halves).mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
 
 
-def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """The other columns plus ``n_tokens, ids_sha256, decoded_sha256`` of an encoding and its decoding."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` without its text, plus ``ids array<int>``."""
+    return _with_ids(docs, text, path, "ids array<int>", lambda bpe, ids: (ids.astype(np.int32),), [pa.list_(pa.int32())])
+
+
+def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """``docs`` without its ids, plus ``text string``; null ids give an empty text."""
     path = path or default_vocabulary()
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    rest = [c for c in docs.columns if c.lower() not in (text.lower(), *made)]
-    (x,) = fresh(docs.columns + made, "bpe_input")
-    df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(x))
-    schema = df.drop(x).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    rest = [c for c in docs.columns if c.lower() not in (ids.lower(), "text")]
+    (x,) = fresh([*docs.columns, "text"], "bpe_input")
+    df = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias(x))
+    schema = widened(df.drop(x).schema, "text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            n, a, d = [], [], []
-            for v in b.column(b.num_columns - 1):
-                ids = bpe.encode(v.as_py() or "")
-                n.append(len(ids))
-                a.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                d.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([bpe.decode(v or []) for v in b.column(b.num_columns - 1).to_pylist()], pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """The other columns plus ``n_tokens, ids_sha256, decoded_sha256`` of an encoding and its decoding."""
+
+    def both(bpe: Bpe, ids: np.ndarray) -> tuple:
+        return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+
+    return _with_ids(docs, text, path, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", both, [pa.int64(), pa.string(), pa.string()])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))

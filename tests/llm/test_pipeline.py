@@ -45,13 +45,18 @@ def test_quality_stage(spark, stages):
         assert (i in got) == (q == 1 and not short)
 
 
+def rows_of(df):
+    return sorted((str(r.doc_id), r.text) for r in df.collect())
+
+
 def test_near_copies_stage(stages):
     from test_llm_operators import brute_components
 
-    before, after = texts(stages[1]), texts(stages[2])
-    want = brute_components(list(before.items()), 5, 80)
-    assert set(after) == {i for i, (_, c) in want.items() if i == c}
-    assert all(before[i] == t for i, t in after.items())
+    before, after = stages[1].collect(), rows_of(stages[2])
+    # by position: every row is a document of its own
+    want = brute_components([(i, r.text) for i, r in enumerate(sorted(before, key=lambda r: (r.doc_id is None, r.doc_id)))], 5, 80)
+    at = {i: r for i, r in enumerate(sorted(before, key=lambda r: (r.doc_id is None, r.doc_id)))}
+    assert after == sorted((str(at[i].doc_id), at[i].text) for i, [(_, c)] in want.items() if i == c)
 
 
 def test_passages_stage(stages):
@@ -89,12 +94,23 @@ def test_packing_stage(stages):
         assert at == total
 
 
-def test_nameless_rows(spark):
-    base = " ".join(f"w{i}" for i in range(80))
-    rows = [(1, base), (2, base + " x"), (None, base), (None, "other " + base[::-1]), (3, "third " * 3)]
+def test_rows_without_or_with_repeated_ids(spark):
+    """No text is lost with its id, and of groups whose rows all lack an id one stays."""
+    base, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    rows = [(1, base), (2, base + " x"), (None, base), (None, "other " + base[::-1]), (3, "third " * 3), (5, "one text here"), (5, "and one more text"), (None, other), (None, other + " y"), (7, ""), (8, "")]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = pipeline.near_copies(spark, df, SF).collect()
-    assert sorted((str(r.doc_id), r.text[:5]) for r in got) == [("1", "w0 w1"), ("3", "third"), ("None", "other")]
+    assert sorted((str(r.doc_id), r.text[:5]) for r in got) == [("1", "w0 w1"), ("3", "third"), ("5", "and o"), ("5", "one t"), ("7", ""), ("8", ""), ("None", "other"), ("None", "v0 v1")]
+
+
+def test_stages_on_an_empty_table_and_repeated_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    text = "\n".join(f"Line {i} of clean text says {' '.join(f'thing{i}x{j}' for j in range(6))} here." for i in range(12))
+    again = spark.createDataFrame([(1, text, "en", "s", len(text))] * 3 + [(1, text + "\nOne more line of clean text is here.", "en", "s", 0)], docs.schema)
+    for name, stage in pipeline.STAGES:
+        docs, again = cut(stage(spark, docs, SF), name), cut(stage(spark, again, SF), name)
+        assert docs.count() == 0
+        assert again.count() == {"quality_rules": 4}.get(name, 1)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
