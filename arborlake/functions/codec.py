@@ -8,10 +8,14 @@ records, and an end tag.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import zstandard
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .hashing import blake3_many, crc32c
 from .keys import BLOB, DIR_LEAF, DIR_NODE, FILE_NODE, KEY_BYTES, RECORD_HEADER, XATTR_SET
@@ -129,6 +133,19 @@ def to_json(x):
     return [to_json(v) for v in x] if isinstance(x, list) else x
 
 
+@F.pandas_udf(StringType())
+def cbor_json(payload: pd.Series) -> pd.Series:
+    """A CBOR payload as JSON, null where it is none."""
+
+    def one(b) -> str | None:
+        try:
+            return None if b is None else json.dumps(to_json(decode(bytes(b))), ensure_ascii=False, separators=(",", ":"))
+        except Malformed:
+            return None
+
+    return payload.map(one)
+
+
 # keys and objects
 
 
@@ -211,15 +228,15 @@ def encode_record(key: bytes, payload: bytes) -> bytes:
 def parse_record(b: bytes, at: int = 0) -> tuple[bytes, bytes, int]:
     """(key, payload, end) of the record at a place."""
     if len(b) - at < RECORD_HEADER:
-        raise Malformed("truncated record header")
+        raise Malformed("header")
     tag, key, flags, plain, stored = struct.unpack_from(">B32sBII", b, at)
     if tag != TAG_RECORD:
-        raise Malformed("unexpected tag")
+        raise Malformed("tag")
     if flags & ~FLAG_ZSTD:
-        raise Malformed("unknown flags")
+        raise Malformed("flags")
     end = at + RECORD_HEADER + stored
     if end > len(b):
-        raise Malformed("truncated payload")
+        raise Malformed("payload")
     if not flags and plain != stored or flags and stored >= plain or plain > MAX_PAYLOAD:
         raise Malformed("lengths")
     body = bytes(b[at + RECORD_HEADER : end])

@@ -92,10 +92,37 @@ def _table() -> list[int]:
     return out
 
 
+CRC_BLOCK = 1024
+
+
+@cache
+def _places() -> tuple[np.ndarray, np.ndarray]:
+    """What a byte adds to the remainder by its distance from the end of a block, and what each byte of a remainder becomes
+    after a block of zeros: remainders are linear, so a block is the exclusive or of its bytes' parts."""
+    one = np.array(_table(), np.uint32)
+    step = lambda x: one[x & np.uint32(255)] ^ (x >> np.uint32(8))
+    place = np.empty((CRC_BLOCK, 256), np.uint32)
+    place[-1] = one
+    for i in range(CRC_BLOCK - 2, -1, -1):
+        place[i] = step(place[i + 1])
+    after = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * j) for j in range(4)])
+    for _ in range(CRC_BLOCK):
+        after = step(after)
+    return place, after
+
+
 def crc32c(data: bytes, crc: int = 0) -> int:
-    table, crc = _table(), crc ^ 0xFFFFFFFF
-    for b in data:
-        crc = table[(crc ^ b) & 0xFF] ^ (crc >> 8)
+    crc ^= 0xFFFFFFFF
+    whole = len(data) // CRC_BLOCK * CRC_BLOCK
+    if whole:
+        place, after = _places()
+        own = np.bitwise_xor.reduce(place[np.arange(CRC_BLOCK), np.frombuffer(data, np.uint8, whole).reshape(-1, CRC_BLOCK)], axis=1)
+        a, b, c, d = (x.tolist() for x in after)
+        for x in own.tolist():
+            crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24] ^ x
+    table = _table()
+    for x in data[whole:]:
+        crc = table[(crc ^ x) & 0xFF] ^ (crc >> 8)
     return crc ^ 0xFFFFFFFF
 
 

@@ -11,14 +11,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-TREE = "path string, name binary, kind string, mode bigint, uid bigint, gid bigint, mtime_ns bigint, size bigint, content binary, link_target binary, rdev array<bigint>"
+TREE = "path string, name binary, kind string, mode bigint, uid bigint, gid bigint, mtime_ns bigint, size bigint, content binary, link_target binary, rdev array<bigint>, xattrs map<binary,binary>"
 
 
 class TreeSource(DataSource):
     """``spark.read.format("filetree").load(folder)``: a row for each entry below a folder of a local or mounted file system.
 
-    Each entry of the folder is a partition.  Options: ``content`` (true or
-    false), ``max_bytes`` (files above it have null content).
+    A partition is an entry with all below it; directories are split into their
+    entries until there are ``splits`` partitions (64 unless said otherwise), level
+    by level.  Other options: ``content`` (true or false), ``max_bytes`` (files
+    above it have null content, and an archive refuses them).
     """
 
     @classmethod
@@ -29,26 +31,33 @@ class TreeSource(DataSource):
         return TREE
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], self.options.get("content", "true") == "true", int(self.options.get("max_bytes", 1 << 30)))
+        return TreeReader(self.options["path"], self.options.get("content", "true") == "true", int(self.options.get("max_bytes", 1 << 30)), int(self.options.get("splits", 64)))
 
 
 class Below(InputPartition):
-    def __init__(self, name: bytes):
-        super().__init__(name)
+    """Entries of one part: (path, whether what lies below it belongs to the part)."""
+
+    def __init__(self, parts: list[tuple[bytes, bool]]):
+        super().__init__(parts)
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, content: bool, max_bytes: int):
-        self.root, self.content, self.max_bytes = os.fsencode(root), content, max_bytes
+    def __init__(self, root: str, content: bool, max_bytes: int, splits: int):
+        self.root, self.content, self.max_bytes, self.splits = os.fsencode(root), content, max_bytes, splits
 
     def partitions(self) -> list[Below]:
-        return [Below(n) for n in sorted(os.listdir(self.root))] or [Below(b"")]
+        open_, done = sorted(os.listdir(self.root)), []
+        while open_ and len(open_) + len(done) < self.splits:
+            folders = [p for p in open_ if stat.S_ISDIR(os.lstat(os.path.join(self.root, p)).st_mode)]
+            done += [(p, False) for p in folders] + [(p, True) for p in set(open_) - set(folders)]
+            open_ = [os.path.join(p, n) for p in folders for n in sorted(os.listdir(os.path.join(self.root, p)))]
+        return [Below([x]) for x in sorted(done + [(p, True) for p in open_])] or [Below([])]
 
     def read(self, partition: Below) -> Iterator[tuple]:
-        if partition.value:
-            yield from self._entry(os.path.join(self.root, partition.value), partition.value)
+        for path, below in partition.value:
+            yield from self._entry(os.path.join(self.root, path), path, below)
 
-    def _entry(self, full: bytes, path: bytes) -> Iterator[tuple]:
+    def _entry(self, full: bytes, path: bytes, below: bool = True) -> Iterator[tuple]:
         st = os.lstat(full)
         kinds = ((stat.S_ISDIR, "dir"), (stat.S_ISREG, "file"), (stat.S_ISLNK, "symlink"), (stat.S_ISFIFO, "fifo"), (stat.S_ISCHR, "char"), (stat.S_ISBLK, "block"), (stat.S_ISSOCK, "socket"))
         kind = next((k for test, k in kinds if test(st.st_mode)), "unknown")
@@ -57,12 +66,20 @@ class TreeReader(DataSourceReader):
             with open(full, "rb") as f:
                 content = f.read()
         device = [os.major(st.st_rdev), os.minor(st.st_rdev)] if kind in ("char", "block") else None
-        yield (path.decode("utf-8", "backslashreplace"), os.path.basename(path), kind, st.st_mode, st.st_uid, st.st_gid, st.st_mtime_ns, st.st_size, content, os.readlink(full) if kind == "symlink" else None, device)
-        if kind == "dir":
+        yield (path.decode("utf-8", "backslashreplace"), os.path.basename(path), kind, st.st_mode, st.st_uid, st.st_gid, st.st_mtime_ns, st.st_size, content, os.readlink(full) if kind == "symlink" else None, device, _attributes(full))
+        if kind == "dir" and below:
             for n in sorted(os.listdir(full)):
                 yield from self._entry(os.path.join(full, n), os.path.join(path, n))
 
 
+def _attributes(full: bytes) -> dict[bytes, bytes] | None:
+    """Extended attributes, null where there are none or the file system has none."""
+    try:
+        return {os.fsencode(n): os.getxattr(full, n, follow_symlinks=False) for n in sorted(os.listxattr(full, follow_symlinks=False))} or None
+    except OSError:
+        return None
+
+
 _TAR = {"dir": tarfile.DIRTYPE, "file": tarfile.REGTYPE, "symlink": tarfile.SYMTYPE, "fifo": tarfile.FIFOTYPE, "char": tarfile.CHRTYPE, "block": tarfile.BLKTYPE}
 
 
@@ -70,7 +87,8 @@ def write_tar(entries: DataFrame, out: io.BufferedIOBase | str, compressed: bool
     """Stream entries, in order of path, into a PAX archive with nanosecond times; the number written.
 
     Rows come to the writer a partition at a time.  Sockets are left out, and a
-    path with an unsafe component is an error.
+    path with an unsafe component, or a file whose content wasn't read, is an error.
+    Extended attributes travel as PAX records.
     """
     n = 0
     opened = open(out, "wb") if isinstance(out, str) else out  # noqa: SIM115
@@ -91,7 +109,11 @@ def write_tar(entries: DataFrame, out: io.BufferedIOBase | str, compressed: bool
                     info.linkname = os.fsdecode(bytes(r["link_target"]))
                 if r["rdev"]:
                     info.devmajor, info.devminor = r["rdev"]
-                data = bytes(r["content"] or b"") if r["kind"] == "file" else b""
+                if r["kind"] == "file" and r["content"] is None:
+                    raise ValueError(f"the content of {r['path']!r} wasn't read")
+                for k, v in (r["xattrs"] or {}).items():
+                    info.pax_headers[f"SCHILY.xattr.{os.fsdecode(bytes(k))}"] = os.fsdecode(bytes(v))
+                data = bytes(r["content"]) if r["kind"] == "file" else b""
                 info.size = len(data)
                 tar.addfile(info, io.BytesIO(data))
                 n += 1

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arborlake.functions import chunking, codec
-from arborlake.functions.hashing import blake3_many, crc32c
+from arborlake.functions.hashing import _table, blake3_many, crc32c
 from arborlake.sources import files, packs
 
 random.seed(1)
@@ -29,6 +29,14 @@ def test_known_key():
 
 def test_crc32c_published_value():
     assert crc32c(b"123456789") == 0xE3069283
+    data = random.randbytes(5000)
+    for n in (0, 1, 1023, 1024, 1025, 4096, 5000):
+        assert crc32c(data[:n]) == crc32c(data[500:n], crc32c(data[: min(n, 500)]))
+    table = _table()
+    crc = 0xFFFFFFFF
+    for x in data:
+        crc = table[(crc ^ x) & 0xFF] ^ (crc >> 8)
+    assert crc32c(data) == crc ^ 0xFFFFFFFF
 
 
 values = st.recursive(st.none() | st.booleans() | st.integers(-(2**64), 2**64 - 1) | st.binary(max_size=40) | st.text(max_size=20), lambda x: st.lists(x, max_size=5) | st.dictionaries(st.integers(0, 30) | st.binary(max_size=5), x, max_size=5), max_leaves=20)
@@ -141,4 +149,15 @@ def test_tree_and_tar(spark, tmp_path):
     assert (to / "d" / "big").read_bytes() == b"ab" * 100_000 and os.readlink(to / "link") == "a"
     assert abs(os.stat(to / "d").st_mtime - 10**9) < 1
     with pytest.raises(ValueError, match="unsafe"):
-        files.write_tar(rows.selectExpr("'../x' AS path", "kind", "mode", "uid", "gid", "mtime_ns", "size", "content", "link_target", "rdev"), io.BytesIO())
+        files.write_tar(rows.selectExpr("'../x' AS path", "kind", "mode", "uid", "gid", "mtime_ns", "size", "content", "link_target", "rdev", "xattrs"), io.BytesIO())
+    with pytest.raises(ValueError, match="read"):
+        files.write_tar(spark.read.format("filetree").option("max_bytes", 100).load(str(src)), io.BytesIO())
+    assert len(files.TreeReader(str(src), True, 1 << 30, 64).partitions()) == 5 and len(files.TreeReader(str(src), True, 1 << 30, 1).partitions()) == 4
+    few = spark.read.format("filetree").option("splits", 1).load(str(src))
+    assert sorted(map(tuple, few.select("path", "kind", "size").collect())) == sorted(map(tuple, rows.select("path", "kind", "size").collect()))
+
+
+def test_cbor_as_json(spark):
+    rows = [(1, codec.encode({1: [b"a", b"\xff", None], b"k": {"x": -2}})), (2, b"\xff"), (3, None)]
+    got = {r.id: r.j for r in spark.createDataFrame(rows, "id int, b binary").select("id", codec.cbor_json("b").alias("j")).collect()}
+    assert got == {1: '{"1":["a","ff",null],"k":{"x":-2}}', 2: None, 3: None}
