@@ -14,7 +14,9 @@ without its places.  A passage that fills a third of the corpus costs a bucket
 one string for each task that read it, not one for each document.
 
 Windows are judged on the input.  Null text has no words; texts under one window
-lose nothing.  Repeated rows are copies of each other.
+lose nothing.  Repeated rows are copies of each other.  Very long texts travel in
+parts that overlap by a window less a word.  Columns named as those made here are
+replaced, others keep their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -180,9 +182,9 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
     spark = docs.sparkSession
     part = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
     mega = int(part[:-1]) * {"k": 1 / 1024, "m": 1, "g": 1024}[part[-1]] if part[-1].isalpha() else int(part) / 2**20
-    # about 6 times the input is sent; a bucket holds some megabytes, a task some buckets
+    # about 6 times the input is sent; a bucket holds some megabytes at any scale, and a task has one bucket at a time in memory
     guess = 6 * docs.rdd.getNumPartitions() * max(mega, 1)
-    bits = min(24, max(9, (int(guess / 6) - 1).bit_length()))
+    bits = min(48, max(9, (int(guess / 6) - 1).bit_length()))
     tasks = min(1 << 16, max(24, int(guess / 48)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +195,9 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
             for row in sender.flush():
                 rows.append(row)
                 if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
                     rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
             for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -226,7 +228,7 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
         if own:
             yield done(own)
 
-    sent = docs.select(key1, key2, text).mapInArrow(send, "bucket int, blob binary")
+    sent = docs.select(key1, key2, text).mapInArrow(send, "bucket long, blob binary")
     return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key1 long, key2 long, start long, stop long")
 
 

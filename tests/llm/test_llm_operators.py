@@ -82,8 +82,9 @@ def brute_dedup(texts, k):
 
 @pytest.mark.parametrize(("k", "m"), [(35, 10), (5, 3)])
 def test_substring_dedup(docs, k, m):
-    got = substring_dedup.remove_repeats(docs, window=k, minimiser=m)
-    assert got.columns[:4] == ["doc_id", "kept", "spans", "text"]
+    clash = docs.withColumn("Removed", F.lit(1)).withColumn("kept_text", F.lit("x")).withColumn("dedup_spans", F.lit("kept"))
+    got = substring_dedup.remove_repeats(clash, window=k, minimiser=m)
+    assert got.columns == ["doc_id", "kept", "spans", "dedup_spans", "text", "kept_text", "n_words", "n_removed", "removed"]
     rows = docs.select("doc_id", "text").collect()
     want = sorted(zip([r.doc_id for r in rows], brute_dedup([r.text for r in rows], k), strict=True), key=repr)
     assert sorted(((r.doc_id, (r.n_words, r.n_removed, r.kept_text)) for r in got.collect()), key=repr) == want
