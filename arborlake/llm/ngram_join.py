@@ -21,10 +21,10 @@ pairs that may link it to another component of an n-gram: pairs whose sizes and
 places in the order allow a link, and whose parity sketches, which grow with the
 set, differ in no more bits than linked sets may.  Those not tested before are
 counted, and components merge.  A pass takes 16 times as many pairs for each
-component as the one before, and the passes end when every pair that may link
-two components has been tested, so no link that could join two components is
-lost.  Nodes outside an n-gram's main component meet its nodes in blocks, so no
-task holds all nodes of an n-gram.
+component as the one before, and looks only where the one before left some out,
+so the passes end when every pair that may link two components has been tested,
+and no link that could join two components is lost.  Nodes outside an n-gram's
+main component meet its nodes in blocks, so no task holds all nodes of an n-gram.
 
 Null or wordless text: an empty set, linked with nothing.  Rows with one id count
 as one document, linked if any of them is, whatever their texts.  Rows with a
@@ -51,10 +51,10 @@ from .wordarrays import mix, normalized, window_hashes, word_ends, word_hashes
 CHUNK = 1 << 21
 WIDE = 4
 #: Counters of the frequency table, in blocks, and the smallest parity sketch in 64-bit words.
-COUNTERS, COUNTER_BLOCK = 22, 16
+COUNTERS, COUNTER_BLOCK = 20, 16
 SKETCH_WORDS = 8
-#: Nodes of an n-gram that one task compares at once.
-BLOCK = 4096
+#: Nodes of an n-gram that one task compares at once, and up to which it does so without sketches.
+BLOCK, FEW = 4096, 32
 
 
 def document_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -125,52 +125,62 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
     size = 1 << COUNTER_BLOCK
 
     def block(k: int, fan: int, c: np.ndarray) -> pa.RecordBatch:
-        blob = zstandard.ZstdCompressor(level=1).compress(c.astype(np.int64).tobytes())
+        blob = zstandard.ZstdCompressor(level=1).compress(c.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([fan], pa.int32()), pa.array([blob], pa.binary())], names=["block", "fan", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, waiting, total = np.zeros(1 << COUNTERS, np.int64), [], 0
+        held, waiting, total = np.zeros(1 << COUNTERS, np.uint32), [], 0
+
+        def add() -> None:
+            u, c = np.unique((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.uint32), return_counts=True)
+            held[u] += c.astype(np.uint32)
+
         for _, sets in _by_chunks(batches, 0, n):
             waiting += sets
             total += sum(map(len, sets))
             if total > 1 << 21:
-                held += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+                add()
                 waiting, total = [], 0
         if total:
-            held += np.bincount((np.concatenate(waiting) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+            add()
         for k in range(len(held) // size):
             part = held[k * size : (k + 1) * size]
             if part.any():
-                yield block(k, TaskContext.get().partitionId(), part)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for k, fan, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if (k, fan) != now:
-                    if now is not None:
-                        yield block(*now, total)
-                    now, total = (k, fan), np.zeros(size, np.int64)
-                total += np.frombuffer(unpack(c.as_py()), np.int64)
-        if now is not None:
-            yield block(*now, total)
+                yield block(k, TaskContext.get().partitionId(), part.astype(np.int64))
+
+    def summed(last: bool):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, total = None, None
+            unpack = zstandard.ZstdDecompressor().decompress
+            # the last level gives classes: a fourth of a power of two
+            done = lambda: block(*now, np.minimum(np.log2(total + 1) * 4, 255).astype(np.uint8) if last else total)
+            for b in batches:
+                for k, fan, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if (k, fan) != now:
+                        if now is not None:
+                            yield done()
+                        now, total = (k, fan), np.zeros(size, np.int64)
+                    total += np.frombuffer(unpack(c.as_py()), np.int64)
+            if now is not None:
+                yield done()
+
+        return add
 
     kind = "block int, fan int, counts binary"
     fan = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
     sent = texts.mapInArrow(count, kind).withColumn("fan", (F.col("fan") % fan).cast("int"))
-    for keys in (["block", "fan"], ["block"]):
-        sent = sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, kind).withColumn("fan", F.lit(0) if keys == ["block"] else F.col("fan"))
-    out = np.zeros(1 << COUNTERS, np.int64)
+    sent = sent.repartition("block", "fan").sortWithinPartitions("block", "fan").mapInArrow(summed(False), kind)
+    sent = sent.withColumn("fan", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(summed(True), kind)
+    out = np.zeros(1 << COUNTERS, np.uint8)
     unpack = zstandard.ZstdDecompressor().decompress
-    for r in sent.collect():  # at most 64 blocks
-        out[r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(unpack(r["counts"]), np.int64)
-    return np.minimum(np.log2(out + 1) * 4, 255).astype(np.uint8)
+    for r in sent.toLocalIterator():  # at most 16 blocks of a byte for each counter
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(unpack(r["counts"]), np.uint8)
+    return out
 
 
 def describe(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
     """All columns but the last, the text, plus ``size, print1, print2, sketch, prefix`` of each document's set."""
-    schema = widened(docs.drop(docs.columns[-1]).schema, "size bigint, print1 bigint, print2 bigint, sketch binary, prefix array<bigint>")
+    schema = widened(docs.drop(docs.columns[-1]).schema, "size bigint, print1 bigint, print2 bigint, sketch binary, short binary, prefix array<bigint>")
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     low, at = np.uint64((1 << 56) - 1), len(docs.columns) - 1
 
@@ -185,7 +195,8 @@ def describe(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
             arrays = [*batch.columns[:-1], pa.array([len(s) for s in sets], pa.int64())]
             arrays += [pa.array(np.array([x.sum(dtype=np.uint64) for x in mixed], np.uint64).view(np.int64))]
             arrays += [pa.array(np.array([mix(x + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in mixed], np.uint64).view(np.int64))]
-            arrays += [pa.array([sketch(s) for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            sketches = [sketch(s) for s in sets]
+            arrays += [pa.array(sketches, pa.binary()), pa.array([folded(np.frombuffer(x, np.uint64)[None, :], SKETCH_WORDS).tobytes() for x in sketches], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -248,13 +259,12 @@ def write_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 class Side:
-    """Nodes of one n-gram: node, component, size, place in the node's order, and sketches by their width."""
+    """Nodes of one n-gram: node, component, size, place in the node's order, and short sketch (null for few nodes)."""
 
     def __init__(self, rows: pa.Table):
         self.node, self.comp, self.size, self.place = (rows.column(c).to_numpy() for c in ("node", "comp", "size", "place"))
-        blobs = rows.column("sketch").to_pylist()
-        width = np.array([len(x) // 8 for x in blobs], np.int64)
-        self.sketches = {int(w): (i := np.flatnonzero(width == w), np.frombuffer(b"".join([blobs[j] for j in i]), np.uint64).reshape(-1, int(w))) for w in np.unique(width)}
+        blobs = rows.column("short").to_pylist()
+        self.short = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, SKETCH_WORDS) if blobs and blobs[0] is not None else None
 
 
 def nearest_partners(probe: Side, members: Side, percent: int, k: int) -> list[np.ndarray]:
@@ -263,32 +273,28 @@ def nearest_partners(probe: Side, members: Side, percent: int, k: int) -> list[n
     Columns comp, a, b, n1, n2, differ, more (1 where the component has further
     pairs here).  In the first n-gram that linked sets share, what follows it in
     both must hold the rest of their overlap.  Closeness is the difference of the
-    parity sketches, which no link exceeds by more than its sets differ.
+    short sketches, which linked sets' difference bounds, or what precedes the
+    n-gram in both, which differs if it is the first that they share.
     """
     found: list[np.ndarray] = [np.zeros((0, 6), np.int64)]
-    for w1, (rows, own) in probe.sketches.items():
-        for w2, (others, theirs) in members.sketches.items():
-            if max(w1, w2) > 2 * min(w1, w2):
-                continue
-            words = min(w1, w2)
-            own_, theirs_ = folded(own, words), folded(theirs, words)
-            step = max(1, (1 << 19) // max(1, len(others)))
-            for lo in range(0, len(rows), step):
-                i = rows[lo : lo + step]
-                n1, n2 = probe.size[i][:, None], members.size[others][None, :]
-                rest = 1 + np.minimum(n1 - 1 - probe.place[i][:, None], n2 - 1 - members.place[others][None, :])
-                ok = (probe.comp[i][:, None] != members.comp[others][None, :]) & (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
-                x, y = np.nonzero(ok)
-                differ = np.zeros(len(x), np.int64)
-                for at in range(0, len(x), max(1, (1 << 21) // words)):
-                    part = slice(at, at + max(1, (1 << 21) // words))
-                    differ[part] = np.bitwise_count(own_[lo + x[part]] ^ theirs_[y[part]]).sum(axis=1)
-                x, y = i[x], others[y]
-                good = differ <= most_different(percent, probe.size[x], members.size[y])
-                x, y, differ = x[good], y[good], differ[good]
-                a, b, n1, n2 = probe.node[x], members.node[y], probe.size[x], members.size[y]
-                swap = a > b
-                found.append(np.column_stack([probe.comp[x], np.where(swap, b, a), np.where(swap, a, b), np.where(swap, n2, n1), np.where(swap, n1, n2), differ]))
+    step = max(1, (1 << 19) // max(1, len(members.node)))
+    n2 = members.size[None, :]
+    for lo in range(0, len(probe.node), step):
+        i = slice(lo, lo + step)
+        n1 = probe.size[i][:, None]
+        rest = np.minimum(n1 - probe.place[i][:, None], n2 - members.place[None, :])
+        ok = (probe.comp[i][:, None] != members.comp[None, :]) & (percent * np.maximum(n1, n2) <= 100 * np.minimum(n1, n2)) & (rest * (100 + percent) >= percent * (n1 + n2))
+        x, y = np.nonzero(ok)
+        x += lo
+        if probe.short is None or members.short is None:  # what lies before the place in either set differs
+            differ = probe.place[x] + members.place[y]
+        else:
+            differ = np.bitwise_count(probe.short[x] ^ members.short[y]).sum(axis=1).astype(np.int64)
+        good = differ <= most_different(percent, probe.size[x], members.size[y])
+        x, y, differ = x[good], y[good], differ[good]
+        a, b, m1, m2 = probe.node[x], members.node[y], probe.size[x], members.size[y]
+        swap = a > b
+        found.append(np.column_stack([probe.comp[x], np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m2, m1), np.where(swap, m1, m2), differ]))
     t = np.concatenate(found)
     t = t[np.lexsort((t[:, 2], t[:, 1], t[:, 5], t[:, 0]))]
     head = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]])) if len(t) else np.zeros(0, np.int64)
@@ -298,11 +304,13 @@ def nearest_partners(probe: Side, members: Side, percent: int, k: int) -> list[n
     return [*t[kept].T, np.repeat(each > k, each)[kept].astype(np.int64)]
 
 
-def candidates(members: DataFrame, percent: int, k: int) -> DataFrame:
-    """Rows ``sig, comp, a, b, n1, n2, differ, more`` of every n-gram (``sig, node, comp, size, place, sketch``).
+def candidates(members: DataFrame, shorts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Rows ``sig, comp, a, b, n1, n2, differ, more`` of every n-gram (``sig, node, comp, size, place``; shorts: ``node, short``).
 
     The nodes outside an n-gram's main component, in blocks, meet all its nodes,
     in blocks; a pair of blocks is a group, so a group has at most two blocks.
+    Where one block holds all, its rows travel once, and where they are few,
+    without sketches: their pairs are few as well.
     """
     names = ["sig", "comp", "a", "b", "n1", "n2", "differ", "more"]
     groups = ["sig", "one", "two"]
@@ -316,8 +324,9 @@ def candidates(members: DataFrame, percent: int, k: int) -> DataFrame:
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                m = i + int(side[i:j].sum())  # those of side 1 come first
-                x = nearest_partners(Side(t.slice(i, m - i)), Side(t.slice(m, j - m)), percent, k)
+                m = i + int((side[i:j] > 0).sum())  # the probes come first
+                first = i if side[i] == 2 else m
+                x = nearest_partners(Side(t.slice(i, m - i)), Side(t.slice(first, j - first)), percent, k)
                 for o, v in zip(out, [np.full(len(x[0]), key[i, 0]), *x], strict=True):
                     o.append(v)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=names)
@@ -340,22 +349,44 @@ def candidates(members: DataFrame, percent: int, k: int) -> DataFrame:
 
     count = members.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
     count = count.groupBy("sig").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    blocks = count.select("sig", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ones"), F.ceil(F.col("all") / BLOCK).alias("twos"))
+    blocks = count.select("sig", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("ones"), F.ceil(F.col("all") / BLOCK).alias("twos"), F.col("all").alias("total"))
     m = members.join(blocks, "sig")
-    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    row = ["node", "comp", "size", "place", "sketch"]
-    probe = m.where("comp <> main").select("sig", block(1, "ones").alias("one"), every("twos").alias("two"), F.lit(1).alias("side"), *row)
-    rest = m.select("sig", every("ones").alias("one"), block(2, "twos").alias("two"), F.lit(0).alias("side"), *row)
+    few, alone, outside = F.col("total") <= FEW, F.col("twos") == 1, F.col("comp") != F.col("main")
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    row = ["node", "comp", "size", "place", "short"]
+    side = F.when(outside, 2).otherwise(0).alias("side")
+    light = m.where(few).select("sig", F.lit(0).alias("one"), F.lit(0).alias("two"), side, *row[:4], F.lit(None).cast("binary").alias("short"))
+    m = m.where(~few).join(shorts, "node")
+    once = m.where(alone).select("sig", F.lit(0).alias("one"), F.lit(0).alias("two"), side, *row)
+    probe = m.where(~alone & outside).select("sig", block(1, "ones").alias("one"), every("twos").alias("two"), F.lit(1).alias("side"), *row)
+    rest = m.where(~alone).select("sig", every("ones").alias("one"), block(2, "twos").alias("two"), F.lit(0).alias("side"), *row)
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = probe.unionByName(rest).repartition(tasks, *groups).sortWithinPartitions(*groups, F.desc("side"), "node")
+    dealt = light.unionByName(once).unionByName(probe).unionByName(rest).repartition(tasks, *groups).sortWithinPartitions(*groups, F.desc("side"))
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y, n1, n2 in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                words = min(len(x), len(y)) // 8
+                differ = np.bitwise_count(folded(np.frombuffer(x, np.uint64)[None, :], words) ^ folded(np.frombuffer(y, np.uint64)[None, :], words)).sum()
+                good.append(int(differ) <= most_different(percent, n1, n2))
+            yield b.select(["a", "b", "n1", "n2"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long, n1 long, n2 long")
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows ``a, b``: links between nodes, enough to have the same components as all links."""
-    about = cut(nodes.join(small(cut(buckets.select("node").distinct(), "in_buckets")), "node", "left_semi").select("node", "print1", "id", "hash", "sketch"), "about")
+    about = cut(nodes.join(small(cut(buckets.select("node").distinct(), "in_buckets")), "node", "left_semi").select("node", "print1", "id", "hash", "sketch", "short"), "about")
     sets = write_sets(docs, about.select("node", "print1", "id", "hash"), n)
+    shorts = small(about.select("node", "short"), binary=8 * SKETCH_WORDS)
     # first, each node with the lead of the n-grams that it shares most
     sizes = buckets.select(F.col("node").alias("a"), F.col("size").alias("n1")).distinct()
     best = buckets.where("lead <> node").groupBy("node", "size", "lead").count().groupBy(F.col("node").alias("b"), F.col("size").alias("n2")).agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("a"))
@@ -365,32 +396,33 @@ def links_of(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, perc
     links = cut(count_links(pairs, sets, percent), "links")
     found = components(links)
 
-    tested, left, k = pairs.select("a", "b"), buckets, 1
+    tested, left, k = pairs.select("a", "b"), buckets, 16
     while True:
         members = left.join(found.select("node", F.col("component").alias("comp")), "node", "left").select("sig", "node", "size", "place", F.coalesce("comp", "node").alias("comp"))
         unsettled = members.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        members = cut(members.join(unsettled, "sig", "left_semi").join(about.select("node", "sketch"), "node"), "members")
-        near = cut(candidates(members, percent, k), "near")
-        order = Window.partitionBy("comp").orderBy("differ", "a", "b")
-        picks = near.select("comp", "a", "b", "n1", "n2", "differ").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-        pairs = cut(picks.select("a", "b", "n1", "n2").distinct().join(small(tested), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            # what was cut off by k may be new, all else is tested
-            if near.where("more = 1").isEmpty() and near.select("comp", "a", "b").distinct().groupBy("comp").count().where(F.col("count") > k).isEmpty():
-                break
-        else:
-            tested = cut(tested.unionByName(pairs.select("a", "b")), "tested")
-            more = cut(count_links(pairs, sets, percent), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                found = components(links)
-        # an n-gram without a pair that may link never gets one
-        still = cut(left.join(near.select("sig").distinct(), "sig", "left_semi"), "buckets")
-        drop(members, near)
+        members = cut(members.join(unsettled, "sig", "left_semi"), "members")
+        near = cut(candidates(members, shorts, percent, k), "near")
+        drop(members)
+        each = near.groupBy("comp", "a", "b", "n1", "n2").agg(F.min("differ").alias("differ"))
+        picks = each.withColumn("nth", F.row_number().over(Window.partitionBy("comp").orderBy("differ", "a", "b"))).where(F.col("nth") <= k + 1)
+        picks = cut(picks, "picks")
+        pairs = cut(picks.where(F.col("nth") <= k).select("a", "b", "n1", "n2").distinct().join(small(tested), ["a", "b"], "left_anti"), "pairs")
+        tested = cut(tested.unionByName(pairs.select("a", "b")), "tested")
+        more = cut(count_links(cut(near_enough(pairs, about, percent), "pairs"), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
+        # only where k cut something off is there more to test
+        over = picks.where(F.col("nth") == k + 1).select("comp").distinct()
+        open_ = near.where("more = 1").select("sig").unionByName(near.join(over, "comp", "left_semi").select("sig")).distinct()
+        still = cut(left.join(open_, "sig", "left_semi"), "buckets")
+        drop(near, picks)
         if left is not buckets:
             drop(left)
         left, k = still, 16 * k
-    drop(sets, about, members, near)
+        if left.isEmpty():
+            break
+    drop(sets, about, left)
     return links
 
 
@@ -407,8 +439,8 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     described = cut(described.withColumn("row", F.monotonically_increasing_id()), "described")
     prints = ["size", "print1", "print2"]
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "hash"))
-    nodes = described.where("size > 0").groupBy(*prints).agg(first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("prefix").alias("prefix"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *prints, "first.id", "first.row", "first.hash", "sketch", "prefix"), "nodes")
+    nodes = described.where("size > 0").groupBy(*prints).agg(first.alias("first"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short"), F.any_value("prefix").alias("prefix"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), *prints, "first.id", "first.row", "first.hash", "sketch", "short", "prefix"), "nodes")
     buckets = shared_buckets(nodes)
     links = links_of(src.select("id", "hash", "text"), nodes, buckets, n, percent)
     found = components(links)
