@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 #: Contracted edges that one task may finish, 16 bytes each.
 FEW = 1_000_000
@@ -52,21 +52,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if known is None:
             return parent
         step = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        return cut(known.join(step, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), "components")
+        out = cut(known.join(step, "up", "left").select("node", F.coalesce("upper", "up").alias("up")), "components")
+        drop(known, parent)
+        return out
 
     while (n := e.count()) > FEW:
+        table = e
         e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the parent of a vertex is its smallest neighbour or itself: parents never rise, so there is no cycle
-        parent = cut(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")), "parents")
+        first = parent = cut(e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("up")), "parents")
         for _ in range(2):
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
             parent = parent.join(above, "up").select("node", F.col("upper").alias("up"))
         parent = cut(parent, "parents")
-        known = follow(parent)
+        drop(first)
         left = parent.select(F.col("node").alias("u"), F.col("up").alias("x"))
         right = parent.select(F.col("node").alias("v"), F.col("up").alias("y"))
         e = e.join(left, "u").join(right, "v").where("x <> y")
         e = cut(e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+        drop(table)
+        known = follow(parent)
     if n or known is None:
         known = follow(cut(_finish(e), "parents"))
+    drop(e)
     return known.select("node", F.col("up").alias("component"))
