@@ -14,18 +14,25 @@ from ..sources.tables import shared_dir
 OBJECTS = "key string, size bigint"
 
 
-def ingest(spark: SparkSession, folder: str, schema: StructType, text: str, store: str, failed: str, checkpoint: str) -> None:
+def ingest(spark: SparkSession, folder: str, schema: StructType, text: str, store: str, failed: str, checkpoint: str, key: str | None = None) -> None:
     """Take what is new in ``folder`` into ``store`` once: verify, drop what is there already, append.
 
-    Rows without a payload go to ``failed``.  A batch that runs again after a
-    failure finds its objects stored, so it adds nothing.
+    A row fails if it has no payload, or if its payload isn't what its ``key`` (a
+    column of the folder, if there is one) says; it goes to ``failed`` with the
+    ``reason``, and the rest of its file is taken all the same.  A batch that runs
+    again after a failure finds its objects stored, so it adds nothing.  Of the
+    store only the keys are read.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        good = batch.where(F.col(text).isNotNull())
-        batch.where(F.col(text).isNull()).write.mode("append").json(failed)
-        new = good.select(text_key(F.col(text)).alias("key"), F.octet_length(text).cast("long").alias("size")).dropDuplicates(["key"])
+        own = text_key(F.col(text))
+        reason = F.when(F.col(text).isNull(), "payload")
+        if key is not None:
+            reason = reason.when(~F.col(key).eqNullSafe(own), "key")
+        judged = batch.withColumn("reason", reason)
+        judged.where("reason IS NOT NULL").write.mode("append").json(failed)
+        new = judged.where("reason IS NULL").select(own.alias("key"), F.octet_length(text).cast("long").alias("size")).dropDuplicates(["key"])
         have = spark.read.schema(OBJECTS).parquet(store).select("key")
         new.join(have, "key", "left_anti").write.mode("append").parquet(store)
         batch.unpersist()
@@ -35,6 +42,15 @@ def ingest(spark: SparkSession, folder: str, schema: StructType, text: str, stor
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def waiting_roots(roots: DataFrame, tagged: DataFrame, done: DataFrame) -> DataFrame:
+    """``roots`` (root) plus ``n_waiting`` and ``open``: a reference to a root is taken once no file tagged with it waits.
+
+    tagged: ``file, root``; done: ``file``, taken or failed.
+    """
+    left = tagged.join(done.select("file").distinct(), "file", "left_anti").groupBy("root").agg(F.count(F.lit(1)).alias("n_waiting"))
+    return roots.join(left, "root", "left").withColumn("n_waiting", F.coalesce("n_waiting", F.lit(0))).withColumn("open", F.col("n_waiting") == 0)
+
+
 def ingest_table(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """The objects of a folder after an ingestion into a new store."""
     base = f"{shared_dir(spark)}/inbox-{uuid.uuid4().hex}"
