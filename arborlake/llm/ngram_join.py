@@ -459,11 +459,15 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     by_id = named.select("id", F.col("first").alias("group")).join(lead.select("group", "whole"), "group").join(whole, "whole").select(F.col("id").alias("of_id"), F.col("component_id").alias("by_id"))
 
     same = (F.col("size") == F.col("n_size")) & (F.col("print1") == F.col("n_print1")) & (F.col("print2") == F.col("n_print2"))
-    out = described.select(*own, "id", "row", *prints).join(names, same, "left").join(small(cut(by_id, "by_id")), F.col("id") == F.col("of_id"), "left")
-    drop(nodes, buckets)
+    by_id = cut(by_id, "by_id")
+    slim = cut(described.select(*own, "id", "row", *prints), "rows")
+    drop(nodes, buckets, described, of, lead)
+    out = slim.join(names, same, "left").join(small(by_id), F.col("id") == F.col("of_id"), "left")
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.coalesce("by_id", "id"))
     named_back = [F.col(o).alias(c) for c, o in zip(rest, own, strict=True)]
-    return out.select(*named_back, F.col("size").alias("n_shingles"), component.alias("component_id"), ((F.col("size") == 0) | (F.col("row") == F.col("lead"))).alias("leads_group"))
+    out = out.select(*named_back, F.col("size").alias("n_shingles"), component.alias("component_id"), ((F.col("size") == 0) | (F.col("row") == F.col("lead"))).alias("leads_group"))
+    out.reads = (slim, names, by_id)  # whoever has written the result may drop them
+    return out
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
