@@ -39,7 +39,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     (body,) = fresh(COLUMNS, "body")
     found = link_components(docs.select(*COLUMNS).withColumn(body, F.col("text")), text=body, n=5, percent=80)
-    return found.where("leads_group").select(*COLUMNS)
+    kept = cut(found.where("leads_group").select(*COLUMNS), "kept")
+    drop(*found.reads)
+    return kept
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
