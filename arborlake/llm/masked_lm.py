@@ -54,8 +54,8 @@ class Shape:
     """``classes`` x ``classes`` word ids, the last of which stands for all rare words; one more id is the edge of a text."""
 
     classes: int = 64
-    width: int = 12
-    hidden: int = 24
+    width: int = 8
+    hidden: int = 16
     gates: int = 8
 
     @property
@@ -182,19 +182,34 @@ def memory(words: Words, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     window = np.zeros(len(words.h), np.uint64)
     for c in range(2 * SIDE):
         window = mix(window * _P + near[:, c])
-    own = mix(words.text.astype(np.uint64) + np.uint64(1))
     inside = words.inside.astype(np.float64)
     weight = copies[words.text] * inside
-    exact = mix(window * _P + words.h)
-    seen = _tally(window, weight) - _tally(window * _P + own, inside)
-    hit = _tally(exact, weight) - _tally(exact * _P + own, inside)
-    return seen, np.where(seen > 0, hit / np.maximum(seen, 1), 0.0)
+    seen, share = _tally(window, weight), np.zeros(len(window))
+    # most windows are their word's alone: the rest is counted by document and word
+    at = np.flatnonzero(seen > inside)
+    window, exact = window[at], mix(window[at] * _P + words.h[at])
+    own = mix(words.text[at].astype(np.uint64) + np.uint64(1))
+    others = seen[at] - _tally(window * _P + own, inside[at])
+    hit = _tally(exact, weight[at]) - _tally(exact * _P + own, inside[at])
+    seen[:] = 0
+    seen[at], share[at] = others, np.where(others > 0, hit / np.maximum(others, 1), 0.0)
+    return seen, share
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _log_of(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Log-probability of one column of each row of scores."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    own = x[np.arange(len(x)), pick].astype(np.float64)
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
 
 
 def network_log_probabilities(shape: Shape, flat: np.ndarray, ids: np.ndarray, near: np.ndarray, rows: int = 16384) -> np.ndarray:
@@ -205,13 +220,13 @@ def network_log_probabilities(shape: Shape, flat: np.ndarray, ids: np.ndarray, n
         y, x = ids[lo : lo + rows], emb[near[lo : lo + rows]].reshape(-1, 2 * SIDE * shape.width)
         hid = np.tanh(x @ w + b)
         cls, inner = y % shape.classes, y // shape.classes
-        got = _log_softmax(hid @ wc + bc)[np.arange(len(y)), cls].astype(np.float64)
+        got = _log_of(hid @ wc + bc, cls)
         order = np.argsort(cls, kind="stable")
         at = np.searchsorted(cls[order], np.arange(shape.classes + 1))
         for c in range(shape.classes):
             part = order[at[c] : at[c + 1]]
             if len(part):
-                got[part] += _log_softmax(hid[part] @ wi[c] + bi[c])[np.arange(len(part)), inner[part]]
+                got[part] += _log_of(hid[part] @ wi[c] + bi[c], inner[part])
         out[lo : lo + rows] = got
     return out
 
@@ -252,9 +267,8 @@ def train(shape: Shape, flat: np.ndarray, words: Words, seen: np.ndarray, share:
         x = emb[n].reshape(m, -1)
         hid = np.tanh(x @ w + b)
         inner = y // shape.classes
-        g = _log_softmax(hid @ wc + bc)
-        net = g[np.arange(m), cls].astype(np.float64)
-        np.exp(g, out=g)
+        g = _softmax(hid @ wc + bc)
+        net = np.log(g[np.arange(m), cls].astype(np.float64) + 1e-30)
         g[np.arange(m), cls] -= 1
         g /= m
         back = g @ wc.T
@@ -263,10 +277,9 @@ def train(shape: Shape, flat: np.ndarray, words: Words, seen: np.ndarray, share:
         edges = np.searchsorted(cls, np.arange(shape.classes + 1))
         for c in np.flatnonzero(np.diff(edges)):
             part = slice(edges[c], edges[c + 1])
-            gi = _log_softmax(hid[part] @ wi[c] + bi[c])
+            gi = _softmax(hid[part] @ wi[c] + bi[c])
             pick = (np.arange(edges[c + 1] - edges[c]), inner[part])
-            net[part] += gi[pick]
-            np.exp(gi, out=gi)
+            net[part] += np.log(gi[pick].astype(np.float64) + 1e-30)
             gi[pick] -= 1
             gi /= m
             back[part] += gi @ wi[c].T
