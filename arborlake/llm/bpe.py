@@ -42,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, fresh, read_table, widened
+from .common import cut, drop, fresh, read_table, widened
 
 #: Bytes above which a pre-token is encoded by halves, and of its leaves.
 LONG, LEAF = 2048, 512
 #: Characters above which a text is encoded by halves in rows of their own, and of its leaves.
-LONG_TEXT, TEXT_LEAF = 16384, 8192
+LONG_TEXT, TEXT_LEAF = 49152, 16384
 #: How byte-level vocabularies split text. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -251,7 +251,9 @@ def encode_long(texts: DataFrame, path: str) -> DataFrame:
     n = -(-most // TEXT_LEAF)
     while n > 1:
         pairs = level.repartition(tasks, "row", F.floor(F.col("pos") / 2)).sortWithinPartitions("row", "pos")
-        level, n = cut(pairs.mapInArrow(join, kind), "bpe_level"), -(-n // 2)
+        above = cut(pairs.mapInArrow(join, kind), "bpe_level")
+        drop(level)
+        level, n = above, -(-n // 2)
     return level.mapInArrow(flat, "row bigint, ids array<int>")
 
 
