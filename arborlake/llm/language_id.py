@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import fresh, read_table
 
 ORDERS = (1, 2, 3)
-SLICE = 1 << 19
+SLICE, BATCH = 1 << 19, 1 << 20
 #: Odd multipliers of the hash, one for each place in an n-gram, and the last one to spread it. Fixed values.
 PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -115,8 +115,12 @@ def batch_counts(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.nda
     for i, t in enumerate(texts):
         if not t:
             continue
-        if len(t) > SLICE:
-            many += [(i << bits) | h for h in ngram_buckets(t, bits)]
+        if len(t) > SLICE:  # slice by slice, so that a very long text takes no more memory than a slice
+            row = np.zeros(1 << bits, np.int64)
+            for h in ngram_buckets(t, bits):
+                row += np.bincount(h, minlength=1 << bits)
+            used = np.flatnonzero(row)
+            many.append(((i << bits) | used, row[used]))
             continue
         short.append((i, t))
         size += len(t)
@@ -124,7 +128,11 @@ def batch_counts(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.nda
             flush()
             short, size = [], 0
     flush()
-    key, count = np.unique(np.concatenate(keys + many), return_counts=True)
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    if many:
+        key, count = np.concatenate([key, *(k for k, _ in many)]), np.concatenate([count, *(c for _, c in many)])
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], count[order]
     return key >> bits, key & ((1 << bits) - 1), count
 
 
@@ -139,6 +147,9 @@ class LanguageModel:
         """The likeliest language of each text, ties to the first in order, and its posterior probability."""
         if not self.languages or not texts:
             return [("und", 0.0)] * len(texts)
+        if len(texts) > 1 and sum(len(t or "") for t in texts) > BATCH:  # by halves, until a part's n-grams fit in memory
+            half = len(texts) // 2
+            return self.predict_batch(texts[:half]) + self.predict_batch(texts[half:])
         text, bucket, count = batch_counts(texts, self.bits)
         total = np.tile(self.log_prior, (len(texts), 1))
         step = max(1, (1 << 22) // len(self.languages))
