@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, read_table, small, widened
+from .common import cut, drop, frugal, read_table, small, widened
 from .components import components
 from .wordarrays import mix, normalized, window_hashes, word_ends, word_hashes
 
@@ -168,9 +168,9 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
 
     kind = "block int, fan int, counts binary"
     fan = max(1, int(texts.rdd.getNumPartitions() ** 0.5))
-    sent = texts.mapInArrow(count, kind).withColumn("fan", (F.col("fan") % fan).cast("int"))
-    sent = sent.repartition("block", "fan").sortWithinPartitions("block", "fan").mapInArrow(summed(False), kind)
-    sent = sent.withColumn("fan", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(summed(True), kind)
+    sent = texts.mapInArrow(frugal(count), kind).withColumn("fan", (F.col("fan") % fan).cast("int"))
+    sent = sent.repartition("block", "fan").sortWithinPartitions("block", "fan").mapInArrow(frugal(summed(False)), kind)
+    sent = sent.withColumn("fan", F.lit(0)).repartition("block").sortWithinPartitions("block").mapInArrow(frugal(summed(True)), kind)
     out = np.zeros(1 << COUNTERS, np.uint8)
     unpack = zstandard.ZstdDecompressor().decompress
     for r in sent.toLocalIterator():  # at most 16 blocks of a byte for each counter
@@ -199,7 +199,7 @@ def describe(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Data
             arrays += [pa.array(sketches, pa.binary()), pa.array([folded(np.frombuffer(x, np.uint64)[None, :], SKETCH_WORDS).tobytes() for x in sketches], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def count_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # while the pairs are few, only the sets they name are shuffled
     two = two.join(small(cut(pairs.select("a").distinct(), "leads")), "a", "left_semi")
     wide = one.join(small(pairs.select("a", "b")), "b").join(two, ["a", "fragment"]).select("a", "b", "fragment", "x", "y")
-    partial = wide.mapInArrow(overlap, "a long, b long, fragment int, overlap long")
+    partial = wide.mapInArrow(frugal(overlap), "a long, b long, fragment int, overlap long")
     total = partial.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap")).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
     return total.join(pairs, ["a", "b"]).where(F.col("overlap") * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))).select("a", "b")
 
@@ -255,7 +255,7 @@ def write_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                             part.append(s[at[i] : at[i + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(part, pa.binary())], names=["node", "fragment", "part"])
 
-    return cut(chosen.mapInArrow(run, "node long, fragment int, part binary"), "sets")
+    return cut(chosen.mapInArrow(frugal(run), "node long, fragment int, part binary"), "sets")
 
 
 class Side:
@@ -363,7 +363,7 @@ def candidates(members: DataFrame, shorts: DataFrame, percent: int, k: int) -> D
     rest = m.where(~alone).select("sig", every("ones").alias("one"), block(2, "twos").alias("two"), F.lit(0).alias("side"), *row)
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = light.unionByName(once).unionByName(probe).unionByName(rest).repartition(tasks, *groups).sortWithinPartitions(*groups, F.desc("side"))
-    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return dealt.mapInArrow(frugal(run), ", ".join(f"{n} long" for n in names))
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -379,7 +379,7 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             yield b.select(["a", "b", "n1", "n2"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.select("a", "b", "n1", "n2", "x", "y").mapInArrow(run, "a long, b long, n1 long, n2 long")
+    return both.select("a", "b", "n1", "n2", "x", "y").mapInArrow(frugal(run), "a long, b long, n1 long, n2 long")
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, n: int, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, read_table, widened
+from .common import fresh, frugal, read_table, widened
 from .wordarrays import inverse, mix, normalized, powers, sliding_min, window_hashes, word_ends, word_hashes
 
 #: Bytes of text that are tokenized at once, and bytes of packed strings that are sent at once.
@@ -228,8 +228,8 @@ def repeated_spans(docs: DataFrame, text: str, key1: str, key2: str, window: int
         if own:
             yield done(own)
 
-    sent = docs.select(key1, key2, text).mapInArrow(send, "bucket long, blob binary")
-    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "key1 long, key2 long, start long, stop long")
+    sent = docs.select(key1, key2, text).mapInArrow(frugal(send), "bucket long, blob binary")
+    return sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(count), "key1 long, key2 long, start long, stop long")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 35, minimiser: int = 10, keep_text: bool = True) -> DataFrame:
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
                 out.append([{"start": x, "stop": y} for x, y in ranges])
             yield pa.RecordBatch.from_arrays([*b.columns[: -1 if keep_text else -2], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pair)], names=schema.names)
 
-    return df.mapInArrow(keep, schema)
+    return df.mapInArrow(frugal(keep), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 _SEP = np.zeros(256, bool)
@@ -17,17 +15,16 @@ def inverse(p: int) -> int:
     return pow(p, -1, 1 << 64)
 
 
-def powers(p: int, n: int) -> np.ndarray:
-    """p^0 .. p^(n-1) modulo 2^64."""
-    size = 1 << max(10, (n - 1).bit_length())
-    return _powers(p, size)[:n]
+_tables: dict[int, np.ndarray] = {}
 
 
-@cache
-def _powers(p: int, size: int) -> np.ndarray:
-    out = np.full(size, p, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers(p: int, n: int) -> np.ndarray:
+    """p^0 .. p^(n-1) modulo 2^64."""
+    if p not in _tables or len(_tables[p]) < n:
+        out = np.full(1 << max(10, (n - 1).bit_length()), p, np.uint64)
+        out[0] = 1
+        _tables[p] = np.multiply.accumulate(out)  # the largest one has all others
+    return _tables[p][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

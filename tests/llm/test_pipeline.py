@@ -1,15 +1,18 @@
 """The pipeline's stages against plain versions of them, and the registered queries against their SQL."""
 
 import re
+import subprocess
+import sys
 from collections import Counter
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from arborlake.llm import queries
+from arborlake.llm import ngram_join, queries, substring_dedup
 from arborlake.llm.common import cut, read_table
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +139,26 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op3_language_id(spark, d).join(read_table(spark, d, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.98
+
+
+def test_idle_workers_give_memory_back():
+    """What a task freed does not stay with its process, which waits beside the next stage."""
+    code = """
+import re
+from arborlake.llm import substring_dedup
+from arborlake.llm.common import frugal
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read()).group(1)) >> 10
+pins = []
+def work(batches):
+    texts = [bytes(2000) for _ in range(100_000)]
+    pins.append(bytes(2000))
+    yield len(texts)
+first = held()
+assert list(frugal(work)(iter([]))) == [100_000]
+print(held() - first)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 50
+    for f in (substring_dedup, ngram_join):
+        source = Path(f.__file__).read_text()
+        assert source.count("mapInArrow(") == source.count("mapInArrow(frugal(") > 0
