@@ -46,6 +46,8 @@ SHARD_WORDS, SLICE_WORDS = 1 << 20, 1 << 20
 ROUTE_WORDS = 5
 #: Weights that travel together.
 PIECE = 16384
+#: Bound of scores, either way, up to which their exponentials and sums of these are floats. Fixed value.
+MOST_SCORE = 60
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,38 +198,56 @@ def memory(words: Words, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seen, share
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with their bias as a last row, for inputs with a last column of ones."""
+    return np.concatenate([w, b[..., None, :]], axis=-2)
+
+
+def _lift(x: np.ndarray, weights: np.ndarray) -> None:
+    """Rows less their maximum, in place, where ``weights`` with their bias could give values within -1 and 1 scores whose
+    exponentials a float would not bear."""
+    if not np.abs(weights).sum(axis=-2).max() <= MOST_SCORE:
+        x -= x.max(axis=1, keepdims=True)
+
+
+def _softmax(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(axis=1, keepdims=True)
+    _lift(x, weights)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
-def _log_of(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+def _log_of(x: np.ndarray, pick: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Log-probability of one column of each row of scores."""
-    x -= x.max(axis=1, keepdims=True)
+    _lift(x, weights)
     own = x[np.arange(len(x)), pick].astype(np.float64)
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
-def network_log_probabilities(shape: Shape, flat: np.ndarray, ids: np.ndarray, near: np.ndarray, rows: int = 16384) -> np.ndarray:
+def _hidden(emb: np.ndarray, w: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embedded neighbours, and the hidden layer with a last column of ones."""
+    x = emb[near].reshape(len(near), -1)
+    hid = np.ones((len(near), len(b) + 1), emb.dtype)
+    np.tanh(x @ w + b, out=hid[:, :-1])
+    return x, hid
+
+
+def network_log_probabilities(shape: Shape, flat: np.ndarray, ids: np.ndarray, near: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Of each id given its neighbours, by the network alone."""
     emb, w, b, wc, bc, wi, bi, _ = shape.split(flat)
     out = np.empty(len(ids), np.float64)
-    for lo in range(0, len(ids), rows):
-        y, x = ids[lo : lo + rows], emb[near[lo : lo + rows]].reshape(-1, 2 * SIDE * shape.width)
-        hid = np.tanh(x @ w + b)
-        cls, inner = y % shape.classes, y // shape.classes
-        got = _log_of(hid @ wc + bc, cls)
-        order = np.argsort(cls, kind="stable")
-        at = np.searchsorted(cls[order], np.arange(shape.classes + 1))
-        for c in range(shape.classes):
-            part = order[at[c] : at[c + 1]]
-            if len(part):
-                got[part] += _log_of(hid[part] @ wi[c] + bi[c], inner[part])
-        out[lo : lo + rows] = got
+    cls, inner = ids % shape.classes, ids // shape.classes
+    order = np.argsort(cls, kind="stable")  # words of a class lie together
+    edges = np.searchsorted(cls[order], np.arange(shape.classes + 1))
+    outer = _with_bias(wc, bc)
+    for c in np.flatnonzero(np.diff(edges)):
+        within = _with_bias(wi[c], bi[c])
+        for lo in range(edges[c], edges[c + 1], rows):
+            part = order[lo : min(lo + rows, edges[c + 1])]
+            _, hid = _hidden(emb, w, b, near[part])
+            out[part] = _log_of(hid @ outer, cls[part], outer) + _log_of(hid @ within, inner[part], within)
     return out
 
 
@@ -264,27 +284,32 @@ def train(shape: Shape, flat: np.ndarray, words: Words, seen: np.ndarray, share:
         cls = y % shape.classes
         order = np.argsort(cls, kind="stable")  # words of a class lie together
         y, n, cls, rows = y[order], n[order], cls[order], rows[order]
-        x = emb[n].reshape(m, -1)
-        hid = np.tanh(x @ w + b)
-        inner = y // shape.classes
-        g = _softmax(hid @ wc + bc)
-        net = np.log(g[np.arange(m), cls].astype(np.float64) + 1e-30)
-        g[np.arange(m), cls] -= 1
+        x, hid = _hidden(emb, w, b, n)
+        inner, each = y // shape.classes, np.arange(m)
+        outer, within = _with_bias(wc, bc), _with_bias(wi, bi)
+        g = _softmax(hid @ outer, outer)
+        net = np.log(g[each, cls].astype(np.float64) + 1e-30)
+        g[each, cls] -= 1
         g /= m
         back = g @ wc.T
-        move(wc, s_wc, hid.T @ g)
-        move(bc, s_bc, g.sum(axis=0))
+        change = hid.T @ g
+        move(wc, s_wc, change[:-1])
+        move(bc, s_bc, change[-1])
         edges = np.searchsorted(cls, np.arange(shape.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[c], edges[c + 1])
-            gi = _softmax(hid[part] @ wi[c] + bi[c])
-            pick = (np.arange(edges[c + 1] - edges[c]), inner[part])
-            net[part] += np.log(gi[pick].astype(np.float64) + 1e-30)
-            gi[pick] -= 1
-            gi /= m
-            back[part] += gi @ wi[c].T
-            move(wi[c], s_wi[c], hid[part].T @ gi)
-            move(bi[c], s_bi[c], gi.sum(axis=0))
+        parts = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+        for c, part in parts:
+            np.matmul(hid[part], within[c], out=g[part])
+        g = _softmax(g, within)
+        net += np.log(g[each, inner].astype(np.float64) + 1e-30)
+        g[each, inner] -= 1
+        g /= m
+        change = np.zeros_like(within)  # of classes without words here nothing moves
+        for c, part in parts:
+            back[part] += g[part] @ wi[c].T
+            np.matmul(hid[part].T, g[part], out=change[c])
+        move(wi, s_wi, change[:, :-1])
+        move(bi, s_bi, change[:, -1])
+        hid = hid[:, :-1]
         back *= 1 - hid * hid
         gx = (back @ w.T).reshape(-1, shape.width)
         move(w, s_w, x.T @ back)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -470,6 +471,38 @@ def test_masked_lm_equals_a_plain_version(spark):
     assert [got[i].n_words for i in range(len(texts))] == [len(t.split()) for t in texts]
 
 
+def test_masked_lm_network_is_exact_and_takes_few_calls():
+    rng, shape = np.random.default_rng(3), masked_lm.Shape(classes=16, width=4, hidden=6, gates=3)
+    n = 20_000
+    ids, text = rng.integers(0, shape.words, n), np.arange(n) // 500
+    near = masked_lm.neighbours(ids, text, shape.words)
+    flat = shape.start(np.bincount(ids, minlength=shape.words).astype(float))
+    for scale in (1, 500):  # the second gives scores whose exponentials no float bears
+        emb, w, b, wc, bc, wi, bi, _ = shape.split(flat)
+        wi[:], wc[:] = rng.normal(0, scale, wi.shape), rng.normal(0, scale, wc.shape)
+        hid = np.tanh(emb[near].reshape(n, -1).astype(float) @ w + b)
+        cls, inner = ids % shape.classes, ids // shape.classes
+        want = np.zeros(n)
+        for x, pick in ((hid @ wc + bc, cls), (np.einsum("nh,nhk->nk", hid, wi[cls]) + bi[cls], inner)):
+            x = x - x.max(axis=1, keepdims=True)
+            want += x[np.arange(n), pick] - np.log(np.exp(x).sum(axis=1))
+        got = masked_lm.network_log_probabilities(shape, flat, ids, near)
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-3) and (scale == 1 or want.min() < -1000)
+    words = masked_lm.Words(ids.astype(np.uint64), ids, np.zeros(n), text, np.ones(n, bool), text)
+    calls = Counter()
+
+    def count(_, event, f):
+        calls[event] += 1
+
+    sys.setprofile(count)
+    try:
+        trained = masked_lm.train(shape, flat, words, np.zeros(n), np.zeros(n), batch=1024)
+    finally:
+        sys.setprofile(None)
+    assert np.isfinite(trained).all()
+    assert calls["call"] + calls["c_call"] < 200 * -(-n // 1024)  # of a batch, not of each of its classes
+
+
 def test_masked_lm_learns_from_both_sides(spark):
     """Better than the unigram of the same ids, worse on shuffled words, the same for any partitions; copies stand out; odd rows."""
     rng = random.Random(10)
