@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import discard, written
 
 
 def closure(roots: DataFrame, edges: DataFrame, labels: tuple[str, ...] = (), expand: DataFrame | None = None, leaf: str | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def closure(roots: DataFrame, edges: DataFrame, labels: tuple[str, ...] = (), ex
     on = [*labels, "node"]
     # every round joins them: computed once
     edges = written(edges.select(F.col("parent").alias("node"), "child"), "edges")
-    expand = None if expand is None else written(expand.select("node").distinct(), "expand")
+    expand = None if expand is None else written(expand.select("node").where("true" if leaf is None else f"NOT ({leaf})").distinct(), "expand")
     frontier = written(roots.select(*on).distinct(), "frontier")
     seen, size, rounds, fresh = frontier, frontier.count(), [], 0
     while True:
@@ -52,19 +52,57 @@ def missing(roots: DataFrame, edges: DataFrame, present: DataFrame, labels: tupl
 def pull(roots: DataFrame, edges: DataFrame, present: DataFrame, leaf: str | None = None) -> DataFrame:
     """Rows ``node, round``: what a pull fetches, and when.  Fetch what is missing, look below it, until nothing is.
 
-    ``edges`` are those of the remote side: of an absent node they are known once it has come.
+    ``edges`` are those of the remote side: of an absent node they are known once it has come.  A node's round is the
+    least number of absent nodes on a way to it, itself included, so one walk gives all rounds: what is there continues
+    the round that reached it, what is absent begins the next.  Leaves don't take part in the walk; they get the least
+    round of their parents in one pass over their edges, so these are sent once, whatever the number of rounds.
     """
-    have, out, k = written(present.select("node"), "present"), [], 0
-    edges = written(edges.select("parent", "child"), "edges")
-    frontier = written(roots.select("node").distinct(), "frontier")
+    inner = "true" if leaf is None else f"NOT ({leaf})"
+    edges = edges.select(F.col("parent").alias("parent_node"), F.col("child").alias("node")).where("parent_node IS NOT NULL AND node IS NOT NULL")
+    roots = roots.select("node").where("node IS NOT NULL").distinct()
+    there = present.select("node").where(inner).distinct().withColumn("there", F.lit(True))
+    walked, there = written(edges.where(inner), "edges"), written(there, "present")
+
+    # what was walked, with round and whether it was there: 16 tables become one of the next level
+    levels: list[list[DataFrame]] = [[]]
+
+    def add(new: DataFrame, i: int = 0) -> None:
+        levels[i].append(new)
+        if len(levels[i]) == 16:
+            levels.extend([[]] if i + 1 == len(levels) else [])
+            merged, levels[i] = written(reduce(DataFrame.unionByName, levels[i]), "seen"), []
+            add(merged, i + 1)
+
+    def reach(nodes: DataFrame) -> DataFrame:
+        seen = [t for level in levels for t in level]
+        new = nodes.join(reduce(DataFrame.unionByName, seen).select("node"), "node", "left_anti") if seen else nodes
+        return written(new.join(there, "node", "left").select("node", F.coalesce("there", F.lit(False)).alias("there")), "reached")
+
+    step, waiting, k = reach(roots.where(inner)), [], 0  # waiting: absent nodes of the next round
     while True:
-        lacking = written(missing(frontier, edges, have, leaf=leaf), "lacking")
-        if lacking.isEmpty():
-            return reduce(DataFrame.unionByName, out) if out else lacking.select("node", F.lit(0).alias("round"))
-        k += 1
-        out.append(lacking.select("node", F.lit(k).alias("round")))
-        # the walk goes on from what has come; all above it has been walked
-        have, frontier = have.unionByName(lacking), lacking
+        on, off = step.where("there"), step.where("NOT there")
+        if not off.isEmpty():
+            waiting.append(off.select("node"))
+        if not on.isEmpty():
+            frontier = on
+        elif waiting:
+            k += 1
+            frontier = written(reduce(DataFrame.unionByName, waiting).distinct().withColumn("there", F.lit(False)), "fetched")
+            waiting = []
+        else:
+            break
+        add(frontier.withColumn("round", F.lit(k)))
+        below = frontier.select(F.col("node").alias("parent_node")).join(walked, "parent_node").select("node").distinct()
+        step = reach(below)
+    discard(walked, there)
+    nothing = roots.where("false").select("node", F.lit(True).alias("there"), F.lit(0).alias("round"))
+    seen = reduce(DataFrame.unionByName, [t for level in levels for t in level], nothing)
+    out = seen.where("NOT there").select("node", "round")
+    if leaf is None:
+        return out
+    leaves = seen.select(F.col("node").alias("parent_node"), "round").join(edges.where(leaf), "parent_node").select("node", "round")
+    leaves = leaves.unionByName(roots.where(leaf).withColumn("round", F.lit(0))).groupBy("node").agg((F.min("round") + 1).alias("round"))
+    return out.unionByName(leaves.join(present.select("node").where(leaf), "node", "left_anti"))
 
 
 def gate(refs: DataFrame, edges: DataFrame, present: DataFrame, leaf: str | None = None) -> DataFrame:

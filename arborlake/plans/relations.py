@@ -65,13 +65,17 @@ def live_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """parent, child: source, directory, file and line nodes."""
+    """parent, child: source, directory, file and line nodes.  Rows of equal text meet by their lines' hashes: 32 bytes of a
+    line travel, not the line."""
     t = documents(spark, d)
     file, folder = F.concat(F.lit("f|"), "h"), F.concat_ws("|", F.lit("d"), "source", "lang")
     top = t.select(F.concat(F.lit("s|"), "source").alias("parent"), folder.alias("child"))
     mid = t.select(folder.alias("parent"), file.alias("child"))
-    low = t.dropDuplicates(["h"]).select(file.alias("parent"), F.explode(F.split("text", "\n", -1)).alias("line")).select("parent", F.concat(F.lit("l|"), F.sha2("line", 256)).alias("child"))
-    return top.unionByName(mid).unionByName(low).distinct()
+    hashes = F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: F.sha2(x, 256)))
+    packed = t.select("h", F.unhex(F.array_join(hashes, "")).alias("lines")).dropDuplicates(["h"])
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("lines"), F.lit(32)), lambda i: F.col("lines").substr(i, F.lit(32))))
+    low = packed.select(file.alias("parent"), each.alias("line")).select("parent", F.concat(F.lit("l|"), F.lower(F.hex("line"))).alias("child"))
+    return top.distinct().unionByName(mid.distinct()).unionByName(low)
 
 
 def refs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +83,10 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("source").alias("name"), F.concat(F.lit("s|"), "source").alias("node")).distinct()
 
 
-def present_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The nodes of a store that lost some: those whose last hex digit isn't 7, and all but files and lines."""
-    e = edges(spark, d)
+def present_nodes(spark: SparkSession, d: str, e: DataFrame | None = None) -> DataFrame:
+    """The nodes of a store that lost some: those whose last hex digit isn't 7, and all but files and lines.  e: its edges,
+    where they are there already."""
+    e = edges(spark, d) if e is None else e
     nodes = e.select(F.col("parent").alias("node")).unionByName(e.select(F.col("child").alias("node"))).distinct()
     return nodes.where("node NOT LIKE '%7' OR node LIKE 's|%' OR node LIKE 'd|%'")
 

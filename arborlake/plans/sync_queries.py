@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..functions import scalars as S
 from ..operators import graph, ignore, refs, store, tree
 from ..operators.folds import BatchFold, fold
-from ..sources.tables import table
+from ..sources.tables import table, written
 from . import relations as R
 
 QUERIES, SQL = {}, {}
@@ -133,7 +133,8 @@ def put_ref(s, d):
 ) SELECT node, CAST(min(k) AS INT) AS round FROM walk WHERE node NOT IN (SELECT node FROM present) GROUP BY node""")
 def pull_rounds(s, d):
     """Fetch what is missing, look below it, until nothing is: each fetched node with its round."""
-    return graph.pull(R.refs(s, d), R.edges(s, d), R.present_nodes(s, d), LEAF)
+    edges = written(R.edges(s, d), "edges")
+    return graph.pull(R.refs(s, d), edges, R.present_nodes(s, d, edges), LEAF)
 
 
 @query(f"""WITH RECURSIVE {R.PLACED}, theirs AS (SELECT key FROM docs WHERE doc_id % 2 = 0), best AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY segment_id DESC) = 1),

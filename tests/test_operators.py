@@ -102,6 +102,31 @@ def test_deep_graphs_and_leaves(spark):
     assert len(graph.closure(roots, e).collect()) == n + 2  # a cycle ends
 
 
+def test_pull_is_one_walk(spark, monkeypatch):
+    """Rounds of a random graph with cycles, repeated edges, nulls and leaves; the edges are written once, and no leaf's."""
+    rng, names = random.Random(5), [f"n{i}" for i in range(40)] + [f"leaf{i}" for i in range(60)]
+    pairs = [(rng.choice(names[:40]), rng.choice(names)) for _ in range(160)] + [(f"c{i}", f"c{i + 1}") for i in range(18)]
+    pairs += pairs[:5] + [("n0", "c0"), (None, "n1"), ("n1", None)]
+    have = [x for x in names if rng.random() < 0.5] + [f"c{i}" for i in range(0, 19, 2)]
+    roots = ["n0", "n1", "leaf0", "leaf1", None]
+    best = {x: int(x not in have) for x in roots if x}
+    for _ in range(300):
+        for p, c in pairs:
+            if p in best and c:
+                best[c] = min(best.get(c, 999), best[p] + (c not in have))
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name, f=graph.written: tables.append((name, t := f(df, name))) or t)
+    count = []
+    monkeypatch.setattr(graph, "discard", lambda *t: count.append(t[0].count()))
+    frame = lambda rows, ddl: spark.createDataFrame([r if isinstance(r, tuple) else (r,) for r in rows], ddl)
+    got = graph.pull(frame(roots, "node string"), frame(pairs, "parent string, child string"), frame(have, "node string"), leaf="node LIKE 'leaf%'").collect()
+    want = {x: k for x, k in best.items() if x not in have}
+    assert max(want.values()) > 8 and any(x.startswith("leaf") for x in want)
+    assert len(got) == len(want) and {r.node: r["round"] for r in got} == want
+    assert [name for name, _ in tables].count("edges") == 1
+    assert count == [sum(1 for p, c in pairs if p and c and not c.startswith("leaf"))]
+
+
 def test_pull_and_gate(spark):
     e = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("q", "d")], "parent string, child string")
     have = spark.createDataFrame([("r",), ("b",), ("d",), ("q",)], "node string")
